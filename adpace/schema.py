@@ -104,9 +104,19 @@ LEAGUE_LABEL_PART = "sports league"
 LEAGUE_LABEL = "sportsleague"
 
 
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "decimal(10,4)": T.DecimalType(10, 4),
+}
+
+
 def struct_of(fields: list[tuple[str, str]]) -> T.StructType:
-    """A ``StructType`` from ``(name, ddl type)`` pairs."""
-    return T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields))
+    """A ``StructType`` from ``(name, type)`` pairs; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in fields])
 
 
 def text_struct(columns: list[str]) -> T.StructType:

@@ -1,0 +1,267 @@
+"""Rollups, facts and marts on the sample and on edge rows."""
+
+from decimal import Decimal
+
+import pytest
+
+from adpace.operators import clubs as C
+from adpace.operators import facts, marts, rollups
+from tests import fixtures as X
+
+
+def health(spark, rows, goal_rows, as_of):
+    return facts.order_health(rollups.order_rollup(rows), goal_rows, as_of)
+
+
+def sample_health(spark, as_of):
+    return health(spark, X.sample_report(spark), X.sample_goals(spark), as_of)
+
+
+# The sample at 2025-04-20.
+EXPECTED = {
+    1001: (15, 15, 8333, 33333, 1.2, 1.0, 0.25, 0.249992, "behind", "behind"),
+    1002: (20, 20, 4750, 7500, 1.263158, 1.0, 0.633333, 0.633333, "behind", "behind"),
+    1003: (31, 31, 5161, 6451, 1.3125, 1.0, 0.8, 0.800031, "behind", "behind"),
+    1004: (21, 11, 2857, 4761, 1.333333, 0.523810, 0.6, 1.145615, "ahead", "ahead"),
+    1005: (20, 0, 2750, 4000, 1.272727, 0.0, 0.6875, 0.0, "too_early", "behind"),
+}
+
+
+def test_sample_order_health(spark):
+    rows = X.by(marts.order_pacing_summary(sample_health(spark, "2025-04-20")), "order_id")
+    club = X.by(
+        marts.club_portfolio(
+            facts.club_delivery(
+                X.sample_domains(spark), X.sample_clubs(spark), sample_health(spark, "2025-04-20")
+            ),
+            "2025-04-20",
+        ),
+        "order_id",
+    )
+    assert rows.keys() == EXPECTED.keys() == club.keys()
+    for order, (days, elapsed, actual, target, ctr, pct, of_goal, index, status, short) in EXPECTED.items():
+        r = rows[order]
+        assert (r.schedule_days, r.days_elapsed) == (days, elapsed)
+        assert (r.actual_impressions_per_day, r.target_impressions_per_day) == (actual, target)
+        assert r.reported_ctr == pytest.approx(ctr, abs=1e-6)
+        assert r.schedule_pct_elapsed == pytest.approx(pct, abs=1e-6)
+        assert r.delivered_impressions_pct_of_goal == pytest.approx(of_goal, abs=1e-6)
+        assert r.pacing_index == pytest.approx(index, abs=1e-6)
+        assert (r.pacing_status, club[order].order_pacing_status) == (status, short)
+        assert r.delivered_impressions == r.reported_impressions
+        assert r.delivered_clicks == r.reported_clicks
+
+
+def test_sample_at_other_dates(spark):
+    late = X.by(marts.order_pacing_summary(sample_health(spark, "2025-11-13")), "order_id")
+    assert {r.pacing_status for r in late.values()} == {"behind"}
+    assert late[1004].pacing_index == pytest.approx(0.600084, abs=1e-6)
+    assert late[1005].pacing_index == pytest.approx(0.6875)
+    soon = sample_health(spark, "2025-04-24")
+    club = facts.club_delivery(X.sample_domains(spark), X.sample_clubs(spark), soon)
+    row = X.by(marts.club_portfolio(club, "2025-04-24"), "order_id")[1004]
+    assert row.order_pacing_index == pytest.approx(0.840118, abs=1e-6)
+    assert row.is_ending_soon_order and row.is_urgent_order
+
+
+def test_sample_clubs(spark):
+    club = facts.club_delivery(
+        X.sample_domains(spark), X.sample_clubs(spark), sample_health(spark, "2025-04-20")
+    )
+    portfolio = marts.club_portfolio(club, "2025-04-20")
+    for row in portfolio.collect():
+        assert row.club_share_of_order_delivery == 1.0
+        assert row.order_share_of_club_delivery == 1.0
+        assert row.club_contribution_bucket == "major_contributor"
+        assert row.distinct_line_items_on_club == 1
+    bands = {r.club_name: r.club_health_band for r in C.club_summary(portfolio).collect()}
+    assert bands == {
+        "eagle": "healthy", "league": "at_risk", "rabbit": "at_risk", "lion": "at_risk",
+        "giants": "at_risk",
+    }
+
+
+def test_goal_and_schedule_edges(spark):
+    rows = X.report(
+        spark,
+        dict(order_id=1, order_end_date="2025-01-01"),
+        dict(order_id=2, order_end_date="2024-12-31"),
+        dict(order_id=3, order_start_date=None),
+        dict(order_id=4, order_end_date=None),
+        dict(order_id=5), dict(order_id=6), dict(order_id=7), dict(order_id=8),
+        dict(order_id=9, ad_server_impressions=None, ad_server_clicks=None),
+    )
+    wanted = X.goals(
+        spark, (1, 1000), (2, 1000), (3, 1000), (4, 1000), (5, None), (6, 0), (7, -3), (8, 30), (9, 62)
+    )
+    got = X.by(marts.order_pacing_summary(health(spark, rows, wanted, "2025-01-20")), "order_id")
+    one_day = got[1]
+    assert (one_day.schedule_days, one_day.days_elapsed) == (None, 1)
+    assert (one_day.actual_impressions_per_day, one_day.target_impressions_per_day) == (100, 1000)
+    assert (one_day.pacing_status, one_day.pacing_index) == ("too_early", 0.0)
+    assert got[2].actual_impressions_per_day is None
+    assert [got[o].days_elapsed for o in (3, 4)] == [None, None]
+    assert [got[o].pacing_status for o in (2, 3, 4)] == ["too_early"] * 3
+    assert [got[o].pacing_status for o in (5, 6, 7)] == ["no_goal"] * 3
+    assert [got[o].delivered_impressions_pct_of_goal for o in (5, 6, 7)] == [None] * 3
+    assert (got[8].target_impressions_per_day, got[8].pacing_index) == (0, 0.0)
+    assert got[8].pacing_status == "behind"
+    assert (got[9].reported_ctr, got[9].delivered_impressions_pct_of_goal) == (None, 0.0)
+    assert got[9].actual_impressions_per_day == 0
+
+
+def test_duplicate_goals_fan_out(spark):
+    rows = X.report(spark, dict(order_id=1), dict(order_id=2))
+    got = health(spark, rows, X.goals(spark, (1, 10), (1, 20)), "2025-01-20").collect()
+    assert sorted((r.order_id, r.impression_goal) for r in got if r.order_id == 1) == [(1, 10), (1, 20)]
+    assert [r.impression_goal for r in got if r.order_id == 2] == [None]
+
+
+def test_rollups(spark):
+    rows = X.report(
+        spark,
+        dict(line_item_id=1, ad_server_impressions=10, ad_server_clicks=1, rendered_creative_size="a"),
+        dict(line_item_id=1, ad_server_impressions=30, ad_server_clicks=2, rendered_creative_size="b"),
+        dict(line_item_id=1, ad_server_impressions=5, ad_server_clicks=0, rendered_creative_size=" b",
+             device_category_name=None),
+        dict(line_item_id=2, ad_server_impressions=0, ad_server_clicks=0, rendered_creative_size="  "),
+        dict(line_item_id=2, ad_server_impressions=0, ad_server_clicks=0, rendered_creative_size=None),
+    )
+    order = rollups.order_rollup(rows).first()
+    assert (order.impressions, order.clicks, order.ctr) == (45, 3, 300 / 45)
+    assert (order.lifetime_impressions, order.lifetime_clicks) == (1000, 10)
+    items = X.by(rollups.line_item_rollup(rows), "line_item_id")
+    assert (items[1].ctr, items[2].ctr) == (3 / 45, None)
+    assert items[1].rendered_creative_size == "b"
+    sizes = rollups.creative_size_rollup(rows).collect()
+    assert {(r.rendered_creative_size, r.device_category_name, r.impressions) for r in sizes} == {
+        ("a", "Desktop", 10), ("b", "Desktop", 30), (" b", None, 5),
+    }
+    table = X.by(rollups.line_items_table(rows), "line_item_id")
+    assert (table[1].delivered_ctr, table[2].delivered_ctr) == (Decimal("6.6667"), Decimal("0.0000"))
+    stored = rollups.orders_table(rows).first()
+    assert stored.primary_goal_units_absolute == 500
+    fact = X.by(rollups.delivery_facts(rows), "line_item_id")[1]
+    assert (fact.device_category_name, fact.creative_name, fact.rendered_creative_size) == (None,) * 3
+    assert fact.primary_goal_units_absolute == 100
+
+
+def test_first_club_per_domain_ignores_case_and_puts_nulls_last(spark):
+    clubs = X.club_map(
+        spark, ("A.com", "z", "Z"), ("a.COM", "b", "B2"), ("a.com", "b", "B1"), ("a.com", None, "0"),
+        ("n.com", None, None),
+    )
+    got = X.by(facts.first_club_per_domain(clubs), "_domain")
+    assert (got["a.com"].club_name, got["a.com"].club_display_name) == ("b", "B1")
+    assert got["n.com"].club_name is None
+
+
+def test_unmapped_domain_fails_or_is_kept(spark):
+    rows = X.report(spark, dict(order_id=1))
+    known = health(spark, rows, X.goals(spark), "2025-01-20")
+    domains = X.domain_rows(spark, (1, 10, "a.com", 30), (1, 10, "x.com", 10), (1, 11, "A.com", 5))
+    clubs = X.club_map(spark, ("a.com", "a", "A"))
+    with pytest.raises(Exception, match="domain without a club: x.com"):
+        facts.club_delivery(domains, clubs, known).collect()
+    with pytest.raises(Exception, match="domain without a club"):
+        facts.club_delivery(domains, clubs, known).groupBy().sum("club_delivered_impressions").collect()
+    no_display = X.club_map(spark, ("a.com", "a", "A"), ("x.com", "x", None))
+    with pytest.raises(Exception, match="domain without a club"):
+        facts.club_delivery(domains, no_display, known).collect()
+    kept = X.by(facts.club_delivery(domains, clubs, known, on_unmapped="keep"), "club_name")
+    assert kept[None].order_share_of_club_delivery is None
+    assert kept["a"].club_delivered_impressions == 35
+    assert kept["a"].distinct_line_items_on_club == 2
+    with pytest.raises(ValueError):
+        facts.domains_with_clubs(domains, clubs, "drop")
+
+
+def test_order_missing_from_the_report_is_unknown(spark):
+    known = health(spark, X.report(spark, dict(order_id=1)), X.goals(spark, (1, 10)), "2025-01-20")
+    domains = X.domain_rows(spark, (1, 10, "a.com", 30), (2, 20, "a.com", 10))
+    clubs = X.club_map(spark, ("a.com", "a", "A"))
+    portfolio = X.by(
+        marts.club_portfolio(facts.club_delivery(domains, clubs, known), "2025-01-20"), "order_id"
+    )
+    assert portfolio[2].order_pacing_status == "unknown"
+    assert portfolio[2].club_share_of_order_delivery is None
+    assert not portfolio[2].is_urgent_order
+    assert portfolio[2].order_share_of_club_delivery == 0.25
+
+
+def test_diagnostics_joins(spark):
+    rows = X.report(
+        spark,
+        dict(order_id=1, line_item_id=10, line_item_lifetime_impressions=400, ad_server_impressions=50),
+        dict(order_id=2, line_item_id=20, advertiser_name="Somebody else"),
+    )
+    known = health(spark, rows, X.goals(spark, (1, 62)), "2025-01-31")
+    items = rollups.line_item_rollup(rows)
+    domains = X.domain_rows(
+        spark, (1, 10, "A.com", 30), (2, 20, "a.com", 10), (3, 30, "a.com", 7), (1, 99, "q.com", 1)
+    )
+    clubs = X.club_map(spark, ("a.com", "a", "A"), ("A.COM", "b", "B"))
+    view = marts.diagnostics_view(facts.line_item_diagnostics(domains, items, clubs, known)).collect()
+    assert len(view) == 7
+    first = [r for r in view if r.order_id == 1 and r.line_item_id == 10]
+    assert {r.club_name for r in first} == {"a", "b"}
+    assert first[0].line_item_total_impressions == 400
+    assert first[0].line_item_window_impressions == 50
+    assert first[0].domain_share_of_line_item == 30 / 400
+    assert first[0].line_item_share_of_order == 8.0
+    assert first[0].order_pacing_status == "behind"
+    mismatch = [r for r in view if r.order_id == 2][0]
+    assert (mismatch.order_pacing_status, mismatch.line_item_total_impressions) == ("unknown", 1000)
+    absent = [r for r in view if r.order_id == 3][0]
+    assert (absent.order_pacing_status, absent.line_item_type_name) == ("unknown", None)
+    unmapped = [r for r in view if r.line_item_id == 99][0]
+    assert (unmapped.club_name, unmapped.order_pacing_status) == (None, "behind")
+
+
+def test_creative_sizes(spark):
+    rows = X.report(
+        spark,
+        dict(order_id=1, line_item_id=10, ad_server_impressions=60, rendered_creative_size="a"),
+        dict(order_id=1, line_item_id=10, ad_server_impressions=20, rendered_creative_size="b"),
+        dict(order_id=1, line_item_id=10, ad_server_impressions=20, rendered_creative_size=None),
+        dict(order_id=1, line_item_id=11, ad_server_impressions=100, rendered_creative_size="a"),
+    )
+    known = health(spark, rows, X.goals(spark, (1, 400)), "2025-01-31")
+    sizes = rollups.creative_size_rollup(rows)
+    got = facts.creative_sizes(sizes, rollups.line_item_rollup(rows), known).collect()
+    row = {(r.line_item_id, r.rendered_creative_size): r for r in got}
+    assert len(got) == 3
+    assert row[10, "a"].line_item_total_impressions == 100
+    assert row[10, "a"].creative_size_share_of_line_item == 0.6
+    assert row[10, "a"].order_size_impressions == 160
+    assert row[10, "a"].order_size_line_items == 2
+    assert row[10, "a"].order_size_avg_impressions_per_line_item == 80.0
+    assert row[10, "a"].size_share_of_order_delivery == 0.8
+    assert row[10, "a"].size_pct_of_order_goal == 0.4
+    assert row[10, "b"].order_size_line_items == 1
+
+
+def test_inconsistent_names_fan_out_in_creative_sizes(spark):
+    rows = X.report(
+        spark,
+        dict(order_id=1, line_item_id=10, rendered_creative_size="a"),
+        dict(order_id=1, line_item_id=11, rendered_creative_size="a", order_name="Renamed"),
+    )
+    known = health(spark, rows, X.goals(spark, (1, 400)), "2025-01-31")
+    sizes = rollups.creative_size_rollup(rows)
+    got = facts.creative_sizes(sizes, rollups.line_item_rollup(rows), known)
+    assert got.count() == 4
+
+
+def test_left_joins_keep_every_row(spark):
+    known = sample_health(spark, "2025-04-20")
+    raw, domains = X.sample_report(spark), X.sample_domains(spark)
+    clubs = X.sample_clubs(spark)
+    assert known.count() == 5
+    club = facts.club_delivery(domains, clubs, known)
+    total = club.groupBy().sum("club_delivered_impressions").first()[0]
+    assert total == domains.groupBy().sum("ad_server_impressions").first()[0]
+    shares = club.groupBy("club_name").sum("order_share_of_club_delivery").collect()
+    assert all(r[1] == pytest.approx(1.0) for r in shares)
+    items = rollups.line_item_rollup(raw)
+    assert facts.line_item_diagnostics(domains, items, clubs, known).count() == domains.count()
