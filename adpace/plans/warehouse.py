@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +11,7 @@ from adpace.operators import facts, marts, rollups
 from adpace.operators.loading import save_goal_edits
 from adpace.operators.quality import enforce
 from adpace.plans.checks import TABLE_CONSTRAINTS
-from adpace.scratch import work_dir, written
+from adpace.scratch import all_written, work_dir, written
 from adpace.sources.tables import read_mart
 
 FACTS = ("order_health", "club_delivery", "line_item_diagnostics", "creative_sizes")
@@ -32,35 +32,47 @@ class Inputs:
     clubs: DataFrame
 
 
+def store_inputs(inputs: Inputs, root: str) -> Inputs:
+    """Write derived inputs once and return their scans."""
+    stored = all_written(
+        {f.name: (getattr(inputs, f.name), f"{root}/{f.name}") for f in fields(inputs)}
+    )
+    return Inputs(**stored)
+
+
 def build_facts(
     inputs: Inputs, as_of: AsOf, root: str, on_unmapped: str = "error"
 ) -> dict[str, DataFrame]:
-    """Write the four facts under ``root`` and return their scans.
+    """Write the four facts under ``root`` and return their scans, with the rollups.
 
-    The line-item and creative-size rollups feed several facts, so they are
-    written once too; every fact reads tables instead of recomputing lineage.
+    ``root`` should be a new folder per build: readers keep the previous build
+    until they switch. The rollups feed several facts, so they are written once
+    to the shared scratch folder; every fact reads tables instead of
+    recomputing lineage.
     """
     stage = work_dir(inputs.delivery.sparkSession, "rollups")
-    line_items = written(rollups.line_item_rollup(inputs.delivery), f"{stage}/line_items")
-    sizes = written(rollups.creative_size_rollup(inputs.delivery), f"{stage}/sizes")
+    staged = all_written(
+        {
+            "orders": (rollups.order_rollup(inputs.delivery), f"{stage}/orders"),
+            "line_items": (rollups.line_item_rollup(inputs.delivery), f"{stage}/line_items"),
+            "size_rollup": (rollups.creative_size_rollup(inputs.delivery), f"{stage}/sizes"),
+        }
+    )
+    line_items, sizes = staged["line_items"], staged["size_rollup"]
     health = written(
-        facts.order_health(rollups.order_rollup(inputs.delivery), inputs.goals, as_of),
-        f"{root}/order_health",
+        facts.order_health(staged["orders"], inputs.goals, as_of), f"{root}/order_health"
     )
-    return {
-        "order_health": health,
-        "club_delivery": written(
-            facts.club_delivery(inputs.domains, inputs.clubs, health, on_unmapped),
-            f"{root}/club_delivery",
+    others = {
+        "club_delivery": facts.club_delivery(
+            inputs.domains, inputs.clubs, health, on_unmapped
         ),
-        "line_item_diagnostics": written(
-            facts.line_item_diagnostics(inputs.domains, line_items, inputs.clubs, health),
-            f"{root}/line_item_diagnostics",
-        ),
-        "creative_sizes": written(
-            facts.creative_sizes(sizes, line_items, health), f"{root}/creative_sizes"
+        "line_item_diagnostics": facts.line_item_diagnostics(
+            inputs.domains, line_items, inputs.clubs, health
         ),
+        "creative_sizes": facts.creative_sizes(sizes, line_items, health),
     }
+    stored = all_written({n: (df, f"{root}/{n}") for n, df in others.items()})
+    return staged | {"order_health": health} | stored
 
 
 def mart_views(stored: dict[str, DataFrame], as_of: AsOf) -> dict[str, DataFrame]:
@@ -80,7 +92,10 @@ def build_all(
     on_unmapped: str = "error",
     register_views: bool = False,
 ) -> dict[str, DataFrame]:
-    """Facts as tables under ``root``, marts as views; optionally as temp views too."""
+    """Facts as tables under ``root``, marts as views; optionally as temp views too.
+
+    The result also holds the staged rollups, by the names that checks use.
+    """
     tables = build_facts(inputs, as_of, root, on_unmapped)
     tables |= mart_views(tables, as_of)
     if register_views:
@@ -98,15 +113,15 @@ def open_warehouse(spark: SparkSession, root: str, as_of: AsOf) -> dict[str, Dat
 def build_aggregate_tables(delivery: DataFrame, root: str) -> dict[str, DataFrame]:
     """Write the stored order, line-item and delivery tables once their constraints hold.
 
-    Each is checked as staged and only then published under ``root``.
+    All are checked as staged and only then published under ``root``.
     """
     stage = work_dir(delivery.sparkSession, "aggregates")
-    tables = {}
-    for name, build in STORED_AGGREGATES.items():
-        staged = written(build(delivery), f"{stage}/{name}")
-        enforce(staged, name, *TABLE_CONSTRAINTS[name])
-        tables[name] = written(staged, f"{root}/{name}")
-    return tables
+    staged = all_written(
+        {n: (build(delivery), f"{stage}/{n}") for n, build in STORED_AGGREGATES.items()}
+    )
+    for name, df in staged.items():
+        enforce(df, name, *TABLE_CONSTRAINTS[name])
+    return all_written({n: (df, f"{root}/{n}") for n, df in staged.items()})
 
 
 def refresh_after_goal_edits(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -30,3 +33,18 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """Write a table and return its scan: later steps no longer depend on its lineage."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def all_written(tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Write independent tables as concurrent jobs, given as ``name: (df, path)``.
+
+    Tasks of one job fill the executors that the tail of another leaves idle.
+    The first failure is raised once all jobs have ended.
+    """
+    if not tables:
+        return {}
+    session = next(iter(tables.values()))[0].sparkSession
+    target: Callable = inheritable_thread_target(session)(written)
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        jobs = {n: pool.submit(target, df, path) for n, (df, path) in tables.items()}
+    return {name: job.result() for name, job in jobs.items()}

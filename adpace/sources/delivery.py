@@ -72,22 +72,29 @@ def with_row_hash(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW_HASH, F.md5(F.concat_ws("|", *parts)))
 
 
-def _typed(name: str, ddl: str) -> Column:
+def typed(name: str, ddl: str) -> Column:
+    """A text column cast to its stored type; a malformed value fails the job.
+
+    Whole numbers may carry a fraction of zeros, as ``500000.0``. Only text
+    that does not parse as an integer takes the decimal path.
+    """
     value = F.col(name)
-    if ddl in ("bigint", "int"):
-        number = value.cast("decimal(38,4)")
-        problem = F.concat(F.lit(f"{name} is not a whole number: "), value)
-        whole = F.when(number == F.floor(number), number).otherwise(
-            F.raise_error(problem).cast("decimal(38,4)")
-        )
-        return F.when(value.isNotNull(), whole).cast(ddl).alias(name)
-    return value.cast(ddl).alias(name)
+    if ddl not in ("bigint", "int"):
+        return value.cast(ddl).alias(name)
+    number = value.cast("decimal(38,4)")
+    problem = F.concat(F.lit(f"{name} is not a whole number: "), value)
+    whole = F.when(number == F.floor(number), number.cast(ddl)).otherwise(
+        F.raise_error(problem).cast(ddl)
+    )
+    return F.coalesce(
+        value.try_cast(ddl), F.when(value.isNotNull(), whole)
+    ).alias(name)
 
 
 def conform_delivery(text: DataFrame) -> DataFrame:
     """Cast report text to the stored types; a malformed value fails the job."""
     kept = [ROW_HASH] if ROW_HASH in text.columns else []
-    return text.select(*[_typed(n, t) for n, t in S.DELIVERY_FIELDS], *kept)
+    return text.select(*[typed(n, t) for n, t in S.DELIVERY_FIELDS], *kept)
 
 
 def latest_report(

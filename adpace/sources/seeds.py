@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adpace import schema as S
-from adpace.sources.delivery import csv_options, lower_headers, missing_to_null, read_text_csv
+from adpace.sources.delivery import (
+    csv_options,
+    lower_headers,
+    missing_to_null,
+    read_text_csv,
+    typed,
+)
 
 
 def read_goals(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -41,4 +47,4 @@ def read_domain_delivery(spark: SparkSession, path: str | list[str]) -> DataFram
     names = [n for n, _ in S.DOMAIN_DELIVERY_FIELDS]
     S.require_columns(rows.columns, names, "domain delivery")
     text = rows.select(*[missing_to_null(c) for c in names])
-    return text.select(*[F.col(n).cast(t).alias(n) for n, t in S.DOMAIN_DELIVERY_FIELDS])
+    return text.select(*[typed(n, t) for n, t in S.DOMAIN_DELIVERY_FIELDS])

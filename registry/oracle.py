@@ -771,6 +771,20 @@ FROM share_all
     "line_item_detail_of_order": (
         f"{_DETAIL} WHERE {_label()} = (SELECT label FROM top_order_label)"
     ),
+    "store_upsert": _DISTINCT_HASHES,
+    "failing_checks": """
+SELECT 'not_null' AS check_kind, 'delivery_report' AS table_name, 'rendered_creative_size' AS column_name,
+       count(*) AS failures FROM raw WHERE rendered_creative_size IS NULL
+UNION ALL
+SELECT 'unique', 'delivery_report', 'line_item_id', count(*)
+FROM (SELECT line_item_id FROM raw GROUP BY 1 HAVING count(*) > 1) u
+UNION ALL
+SELECT 'relationships', 'delivery_report', 'order_id', count(*) FROM raw
+WHERE order_id NOT IN (SELECT order_id FROM order_roll WHERE order_delivery_status_name = 'Started')
+UNION ALL
+SELECT 'accepted_values', 'delivery_report', 'device_category_name', count(*) FROM raw
+WHERE device_category_name NOT IN ('R', 'N')
+""",
     "quality_report": " UNION ALL ".join(_check_sql(c) for c in declared_checks(CLUBS)),
 }
 

@@ -22,10 +22,18 @@ from adpace.operators.loading import (
     load_report,
     new_rows,
 )
-from adpace.operators.quality import run_checks
+from adpace.operators.quality import (
+    ACCEPTED_VALUES,
+    NOT_NULL,
+    RELATIONSHIPS,
+    UNIQUE,
+    Check,
+    run_checks,
+)
+from adpace.operators.store import create_store, upsert_store
 from adpace.plans import warehouse
 from adpace.plans.checks import declared_checks
-from adpace.scratch import work_dir
+from adpace.scratch import work_dir, written
 from adpace.sources import retail, seeds
 from adpace.sources.delivery import (
     latest_report,
@@ -70,9 +78,11 @@ class Tables:
     def clubs(self) -> DataFrame:
         return retail.domain_clubs(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def inputs(self) -> warehouse.Inputs:
-        return warehouse.Inputs(self.raw, self.goals, self.domains, self.clubs)
+        """The inputs as stored tables, which is what a build starts from."""
+        derived = warehouse.Inputs(self.raw, self.goals, self.domains, self.clubs)
+        return warehouse.store_inputs(derived, work_dir(self.spark, "inputs"))
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -118,6 +128,17 @@ class Tables:
     def creative_sizes(self) -> DataFrame:
         return facts.creative_sizes(self.sizes, self.line_items, self.health)
 
+    @cached_property
+    def stored_portfolio(self) -> DataFrame:
+        """The portfolio over a stored club fact, for views that read it repeatedly."""
+        fact = written(self.club_delivery, work_dir(self.spark, "club_delivery"))
+        return marts.club_portfolio(fact, retail.AS_OF)
+
+    @cached_property
+    def stored_sizes(self) -> DataFrame:
+        """The stored creative-size fact, for views that read it repeatedly."""
+        return written(self.creative_sizes, work_dir(self.spark, "creative_sizes"))
+
     def top_advertiser(self) -> F.Column:
         """The advertiser with the most delivered impressions, as a scalar subquery."""
         by_advertiser = self.orders.groupBy("advertiser_name").agg(
@@ -134,8 +155,8 @@ class Tables:
 
     def top_club(self) -> F.Column:
         """The club with the most delivered impressions, as a scalar subquery."""
-        totals = facts.club_totals(facts.domains_with_clubs(self.domains, self.clubs))
-        order = F.struct("total_club_impressions", "club_display_name")
+        totals = C.club_delivery_scale(self.stored_portfolio)
+        order = F.struct("club_total", "club_display_name")
         return totals.agg(F.max_by("club_display_name", order)).scalar()
 
     def write_report(self, directory: str, rows: DataFrame | None = None) -> str:
@@ -549,7 +570,7 @@ def spotlight_top3(t: Tables) -> DataFrame:
 
 @_query
 def spotlight_club_top3(t: Tables) -> DataFrame:
-    return O.spotlight(t.enriched, t.portfolio, t.top_club(), best=True)
+    return O.spotlight(t.enriched, t.stored_portfolio, t.top_club(), best=True)
 
 
 @_query
@@ -587,14 +608,14 @@ def urgent_clubs(t: Tables) -> DataFrame:
 
 @_query
 def club_drilldown(t: Tables) -> DataFrame:
-    return C.club_drilldown(t.portfolio, urgent_only=True).select(
+    return C.club_drilldown(t.stored_portfolio, urgent_only=True).select(
         "club_display_name", "order_id", "club_delivered_impressions", "is_urgent_order"
     )
 
 
 @_query
 def club_drilldown_by_club(t: Tables) -> DataFrame:
-    rows = C.club_drilldown(t.portfolio, advertiser=t.top_advertiser(), club=t.top_club())
+    rows = C.club_drilldown(t.stored_portfolio, advertiser=t.top_advertiser(), club=t.top_club())
     return rows.select("club_display_name", "advertiser_name", "order_id")
 
 
@@ -604,12 +625,12 @@ def _rounded_share(df: DataFrame) -> DataFrame:
 
 @_query
 def order_share_of_club(t: Tables) -> DataFrame:
-    return _rounded_share(C.order_share_of_club(t.portfolio))
+    return _rounded_share(C.order_share_of_club(t.stored_portfolio))
 
 
 @_query
 def order_share_of_one_club(t: Tables) -> DataFrame:
-    return _rounded_share(C.order_share_of_club(t.portfolio, club=t.top_club()))
+    return _rounded_share(C.order_share_of_club(t.stored_portfolio, club=t.top_club()))
 
 
 @_query
@@ -622,13 +643,13 @@ def advertiser_club_mix(t: Tables) -> DataFrame:
 
 @_query
 def creative_size_share(t: Tables) -> DataFrame:
-    return Z.creative_size_share(t.creative_sizes)
+    return Z.creative_size_share(t.stored_sizes)
 
 
 @_query
 def creative_size_share_of_order(t: Tables) -> DataFrame:
     selection = Z.SizeSelection(order_label=t.top_order_label())
-    return Z.creative_size_share(t.creative_sizes, selection)
+    return Z.creative_size_share(t.stored_sizes, selection)
 
 
 @_query
@@ -638,18 +659,18 @@ def creative_size_share_of_line_item(t: Tables) -> DataFrame:
     selection = Z.SizeSelection(
         line_item_label=t.sizes.agg(F.max_by(label, order)).scalar()
     )
-    return Z.creative_size_share(t.creative_sizes, selection)
+    return Z.creative_size_share(t.stored_sizes, selection)
 
 
 @_query
 def creative_size_share_of_device(t: Tables) -> DataFrame:
     selection = Z.SizeSelection(advertiser=t.top_advertiser(), device="R")
-    return Z.creative_size_share(t.creative_sizes, selection)
+    return Z.creative_size_share(t.stored_sizes, selection)
 
 
 @_query
 def validate_size_shares(t: Tables) -> DataFrame:
-    return Z.validate_size_shares(t.creative_sizes).withColumn(
+    return Z.validate_size_shares(t.stored_sizes).withColumn(
         "share_sum", F.round("share_sum", 9)
     )
 
@@ -673,17 +694,45 @@ def quality_report(t: Tables) -> DataFrame:
     root = work_dir(t.spark, "warehouse")
     tables = warehouse.build_all(t.inputs, retail.AS_OF, root)
     tables |= {
-        "delivery_report": with_row_hash(t.raw),
-        "domain_delivery": t.domains,
-        "partner_goals": t.goals,
-        "domain_clubs": t.clubs,
-        "orders": t.orders,
-        "line_items": t.line_items,
-        "size_rollup": t.sizes,
+        "delivery_report": with_row_hash(t.inputs.delivery),
+        "domain_delivery": t.inputs.domains,
+        "partner_goals": t.inputs.goals,
+        "domain_clubs": t.inputs.clubs,
     }
     return run_checks(tables, declared_checks(CLUBS))
 
 
+@_query
+def failing_checks(t: Tables) -> DataFrame:
+    """Checks that the data does not pass, one of each kind."""
+    started = t.orders.filter(F.col("order_delivery_status_name") == "Started")
+    return run_checks(
+        {"delivery_report": t.raw, "started_orders": started},
+        [
+            Check(NOT_NULL, "delivery_report", "rendered_creative_size"),
+            Check(UNIQUE, "delivery_report", "line_item_id"),
+            Check(
+                RELATIONSHIPS, "delivery_report", "order_id",
+                parent="started_orders", parent_column="order_id",
+            ),
+            Check(ACCEPTED_VALUES, "delivery_report", "device_category_name", values=("R", "N")),
+        ],
+    )
+
+
+@_query
+def store_upsert(t: Tables) -> DataFrame:
+    """The upsert into a table bucketed by row hash."""
+    path = work_dir(t.spark, "store")
+    table = f"report_store_{path.rsplit('-', 1)[1]}"
+    create_store(t.spark, table, buckets=8, path=path)
+    report = with_row_hash(t.raw)
+    finished = report.filter(F.col("order_delivery_status_name") == "Completed")
+    for rows in (finished, report):
+        upsert_store(rows, table, buckets=8)
+    return _keys(t.spark.table(table))
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
 
