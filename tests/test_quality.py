@@ -62,14 +62,11 @@ def test_sample_warehouse_passes_all_checks(spark):
     tables = warehouse.build_all(inputs, "2025-04-20", root, register_views=True)
     assert spark.table("club_portfolio").count() == 5
     reopened = warehouse.open_warehouse(spark, root, "2025-04-20")
-    assert set(reopened) == set(tables)
+    assert set(reopened) == set(tables) - {"orders", "line_items", "size_rollup"}
     assert reopened["creative_sizes_view"].count() == 5
     tables |= {
         "delivery_report": inputs.delivery, "domain_delivery": inputs.domains,
         "partner_goals": inputs.goals, "domain_clubs": inputs.clubs,
-        "orders": warehouse.rollups.order_rollup(inputs.delivery),
-        "line_items": warehouse.rollups.line_item_rollup(inputs.delivery),
-        "size_rollup": warehouse.rollups.creative_size_rollup(inputs.delivery),
     }
     clubs = [r[9] for r in X.SAMPLE]
     results = Q.run_checks(tables, declared_checks(clubs)).collect()
