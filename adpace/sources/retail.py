@@ -10,25 +10,83 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from adpace import schema as S
 
 AS_OF = "1998-06-15"
 
+# The columns that the mapping reads; a given schema needs no inference job.
+SCHEMAS = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "customer": "c_custkey bigint, c_name string",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int",
+}
+
+_ORDER_START = "CAST(o_orderdate AS DATE)"
+_ORDER_END = f"date_add({_ORDER_START}, CAST(o_orderkey % 45 AS INT))"
+_ITEM = "l_orderkey * 10 + l_linenumber"
+_ITEM_END = f"greatest({_ORDER_START}, CAST(l_shipdate AS DATE))"
+
+_DELIVERY = {
+    "order_id": "o_orderkey",
+    "order_name": "concat('Order ', o_orderkey)",
+    "order_start_date": _ORDER_START,
+    "order_start_date_time": f"CAST({_ORDER_START} AS TIMESTAMP_NTZ)",
+    "order_end_date": _ORDER_END,
+    "order_end_date_time": f"CAST({_ORDER_END} AS TIMESTAMP_NTZ)",
+    "line_item_id": _ITEM,
+    "line_item_name": f"concat('Line ', {_ITEM})",
+    "line_item_start_date": _ORDER_START,
+    "line_item_start_date_time": f"CAST({_ORDER_START} AS TIMESTAMP_NTZ)",
+    "line_item_end_date": _ITEM_END,
+    "line_item_end_date_time": f"CAST({_ITEM_END} AS TIMESTAMP_NTZ)",
+    "line_item_primary_goal_units_absolute": "CAST(floor(l_extendedprice / 10) AS BIGINT)",
+    "line_item_primary_goal_unit_type_name": "'IMPRESSIONS'",
+    "line_item_lifetime_impressions": "CAST(floor(l_extendedprice * 2) AS BIGINT)",
+    "line_item_lifetime_clicks": "CAST(floor(l_quantity) AS BIGINT) * 2",
+    "order_lifetime_clicks": "CAST(floor(o_totalprice / 1000) AS BIGINT)",
+    "order_lifetime_impressions": "CAST(floor(o_totalprice) AS BIGINT)",
+    "line_item_delivery_indicator": "CAST(l_discount AS DECIMAL(10,4))",
+    "creative_name": "p_name",
+    "rendered_creative_size": (
+        "CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 7 = 0 THEN '  ' ELSE p_type END"
+    ),
+    "device_category_name": "l_returnflag",
+    "line_item_priority": "l_linenumber",
+    "line_item_type_name": "if(l_linestatus = 'O', 'STANDARD', 'SPONSORSHIP')",
+    "order_delivery_status_name": (
+        "CASE o_orderstatus WHEN 'P' THEN 'Started' WHEN 'O' THEN 'Not started' "
+        "ELSE 'Completed' END"
+    ),
+    "advertiser_name": "c_name",
+    "ad_server_impressions": "CAST(floor(l_extendedprice) AS BIGINT)",
+    "ad_server_clicks": "CAST(floor(l_quantity) AS BIGINT)",
+    "ad_server_ctr": "CAST(l_tax AS DECIMAL(10,4))",
+}
 _PART_COLUMNS = {"creative_name", "rendered_creative_size"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _whole(value) -> F.Column:
-    return F.floor(value).cast("bigint")
+def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
-def _line_item_id() -> F.Column:
-    return F.col("l_orderkey") * 10 + F.col("l_linenumber")
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = (table(spark, sf_dir, n) for n in ("orders", "customer"))
+    return orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
 
 
 def delivery(
@@ -37,128 +95,75 @@ def delivery(
     """Raw report rows. ``part`` is joined only if a creative column is asked for;
     its key is unique and complete, so leaving it out changes no row."""
     wanted = list(columns or S.DELIVERY_COLUMNS)
-    rows = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    items, orders, customer = (
+        table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer")
     )
-    if _PART_COLUMNS & set(wanted):
-        rows = rows.join(
-            table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
-        )
-
-    order_start = F.col("o_orderdate").cast("date")
-    order_end = F.date_add(order_start, (F.col("o_orderkey") % 45).cast("int"))
-    item_end = F.greatest(order_start, F.col("l_shipdate").cast("date"))
-    impressions = _whole(F.col("l_extendedprice"))
-    clicks = _whole(F.col("l_quantity"))
-    size = (
-        F.when(F.col("p_size") % 11 == 0, None)
-        .when(F.col("p_size") % 7 == 0, "  ")
-        .otherwise(F.col("p_type"))
+    rows = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).join(
+        customer, orders["o_custkey"] == customer["c_custkey"]
     )
-    mapping = {
-        "order_id": F.col("o_orderkey"),
-        "order_name": F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")),
-        "order_start_date": order_start,
-        "order_start_date_time": order_start.cast("timestamp_ntz"),
-        "order_end_date": order_end,
-        "order_end_date_time": order_end.cast("timestamp_ntz"),
-        "line_item_id": _line_item_id(),
-        "line_item_name": F.concat(F.lit("Line "), _line_item_id().cast("string")),
-        "line_item_start_date": order_start,
-        "line_item_start_date_time": order_start.cast("timestamp_ntz"),
-        "line_item_end_date": item_end,
-        "line_item_end_date_time": item_end.cast("timestamp_ntz"),
-        "line_item_primary_goal_units_absolute": _whole(F.col("l_extendedprice") / 10),
-        "line_item_primary_goal_unit_type_name": F.lit("IMPRESSIONS"),
-        "line_item_lifetime_impressions": _whole(F.col("l_extendedprice") * 2),
-        "line_item_lifetime_clicks": clicks * 2,
-        "order_lifetime_clicks": _whole(F.col("o_totalprice") / 1000),
-        "order_lifetime_impressions": _whole(F.col("o_totalprice")),
-        "line_item_delivery_indicator": F.col("l_discount").cast("decimal(10,4)"),
-        "creative_name": F.col("p_name") if "p_name" in rows.columns else F.lit(None),
-        "rendered_creative_size": size if "p_size" in rows.columns else F.lit(None),
-        "device_category_name": F.col("l_returnflag"),
-        "line_item_priority": F.col("l_linenumber").cast("int"),
-        "line_item_type_name": F.when(F.col("l_linestatus") == "O", "STANDARD").otherwise(
-            "SPONSORSHIP"
-        ),
-        "order_delivery_status_name": F.when(F.col("o_orderstatus") == "P", "Started")
-        .when(F.col("o_orderstatus") == "O", "Not started")
-        .otherwise("Completed"),
-        "advertiser_name": F.col("c_name"),
-        "ad_server_impressions": impressions,
-        "ad_server_clicks": clicks,
-        "ad_server_ctr": F.col("l_tax").cast("decimal(10,4)"),
-    }
-    return rows.select(*[mapping[c].alias(c) for c in wanted])
+    if _PART_COLUMNS & set(wanted):
+        part = table(spark, sf_dir, "part")
+        rows = rows.join(part, items["l_partkey"] == part["p_partkey"])
+    return _project(rows, {c: _DELIVERY[c] for c in wanted})
 
 
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracted goals: every order but the low-priority ones, which have none."""
-    goal = F.when(F.col("o_totalprice") < 5000, 0).otherwise(
-        _whole(F.col("o_totalprice"))
-    )
-    return (
-        table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .filter(F.col("o_orderpriority") != "5-LOW")
-        .select(
-            F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string")).alias("order_name"),
-            F.col("c_name").alias("advertiser_name"),
-            goal.cast("bigint").alias("impression_goal"),
-        )
+    return _project(
+        _orders(spark, sf_dir).filter("o_orderpriority <> '5-LOW'"),
+        {
+            "order_name": "concat('ORDER ', o_orderkey)",
+            "advertiser_name": "c_name",
+            "impression_goal": (
+                "CAST(if(o_totalprice < 5000, 0, floor(o_totalprice)) AS BIGINT)"
+            ),
+        },
     )
 
 
 def domain_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions per (order, line item, domain), with a heavy tail of large orders."""
-    domain = F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string"), F.lit(".com"))
-    weight = F.when(F.col("l_orderkey") % 1000 == 7, 20000).otherwise(1)
+    items, supplier = (table(spark, sf_dir, n) for n in ("lineitem", "supplier"))
+    domain = "concat('nation_', s_nationkey, '.com')"
     per_domain = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(
-            F.col("l_orderkey").alias("order_id"),
-            _line_item_id().alias("line_item_id"),
-            F.when(F.col("l_linenumber") % 2 == 1, F.upper(domain))
-            .otherwise(domain)
-            .alias("domain_name"),
-        )
-        .agg(
-            F.sum(_whole(F.col("l_extendedprice") * 0.5) * weight).alias(
-                "ad_server_impressions"
-            )
-        )
-    )
-    named = (
-        per_domain.join(
-            table(spark, sf_dir, "orders"), F.col("order_id") == F.col("o_orderkey")
-        )
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .withColumns(
+        _project(
+            items.join(supplier, items["l_suppkey"] == supplier["s_suppkey"]),
             {
-                "order_name": F.concat(F.lit("Order "), F.col("order_id").cast("string")),
-                "line_item_name": F.concat(
-                    F.lit("Line "), F.col("line_item_id").cast("string")
+                "order_id": "l_orderkey",
+                "line_item_id": _ITEM,
+                "domain_name": f"if(l_linenumber % 2 = 1, upper({domain}), {domain})",
+                "impressions": (
+                    "CAST(floor(l_extendedprice * 0.5D) AS BIGINT) "
+                    "* if(l_orderkey % 1000 = 7, 20000, 1)"
                 ),
-                "advertiser_name": F.col("c_name"),
-            }
+            },
         )
+        .groupBy("order_id", "line_item_id", "domain_name")
+        .sum("impressions")
     )
-    return named.select(*[n for n, _ in S.DOMAIN_DELIVERY_FIELDS])
+    orders = _orders(spark, sf_dir)
+    named = per_domain.join(orders, per_domain["order_id"] == orders["o_orderkey"])
+    mapping = {
+        "order_id": "order_id",
+        "order_name": "concat('Order ', order_id)",
+        "line_item_id": "line_item_id",
+        "line_item_name": "concat('Line ', line_item_id)",
+        "advertiser_name": "c_name",
+        "domain_name": "domain_name",
+        "ad_server_impressions": "`sum(impressions)`",
+    }
+    return _project(named, {n: mapping[n] for n, _ in S.DOMAIN_DELIVERY_FIELDS})
 
 
 def domain_clubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain to club map: one domain per nation, twelve clubs."""
-    club = (F.col("n_nationkey") % 12).cast("string")
-    return table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string"), F.lit(".com")).alias(
-            "domain_name"
-        ),
-        F.concat(F.lit("club_"), club).alias("club_name"),
-        F.when(club == "0", "Sports league")
-        .otherwise(F.concat(F.lit("Club "), club))
-        .alias("club_display_name"),
+    return _project(
+        table(spark, sf_dir, "nation"),
+        {
+            "domain_name": "concat('nation_', n_nationkey, '.com')",
+            "club_name": "concat('club_', n_nationkey % 12)",
+            "club_display_name": (
+                "if(n_nationkey % 12 = 0, 'Sports league', concat('Club ', n_nationkey % 12))"
+            ),
+        },
     )
