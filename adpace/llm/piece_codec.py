@@ -34,6 +34,8 @@ WINDOW = 64
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
 
+_ABSENT = object()
+
 
 @dataclass
 class Vocabulary:
@@ -50,6 +52,8 @@ class Vocabulary:
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_COST
         #: Every proper start of a piece: a search stops where no piece goes on.
         self.starts = {p[:n] for p in self.ids for n in range(1, len(p))}
+        #: Pieces with their scores, and every proper start of a piece with none.
+        self.trie = dict.fromkeys(self.starts) | self.scores
         self.cuts_at_mark = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.byte_of = {piece: b for b, piece in enumerate(self.bytes_)}
 
@@ -114,20 +118,19 @@ class Encoder:
     def _search(self, text: str) -> list[int]:
         """Ids of a stretch that is no longer than the window: one commit at its end."""
         n = len(text)
-        scores, starts, worst = self.vocabulary.scores, self.vocabulary.starts, self.vocabulary.worst
+        find, worst = self.vocabulary.trie.get, self.vocabulary.worst
         sums, back = [-math.inf] * (n + 1), [0] * (n + 1)
         sums[0] = 0.0
         for at in range(n):
             here = sums[at]
-            for end in range(at + 1, n + 1):
-                piece = text[at:end]
-                score = scores.get(piece)
-                if score is not None:
-                    if here + score > sums[end]:
-                        sums[end], back[end] = here + score, at
-                elif end == at + 1 and here + worst > sums[end]:
-                    sums[end], back[end] = here + worst, at
-                if piece not in starts:
+            if (score := find(text[at], worst)) is None:
+                score = worst
+            end = at + 1
+            while True:
+                if score is not None and here + score > sums[end]:
+                    sums[end], back[end] = here + score, at
+                end += 1
+                if end > n or (score := find(text[at:end], _ABSENT)) is _ABSENT:
                     break
         return self._path(text, back, 0, n)
 
