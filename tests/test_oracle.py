@@ -6,11 +6,13 @@ import sys
 import pytest
 
 import __spark_entry__ as entry_module
+from registry import oracle
+from registry import queries as registered
 from tests.oracle import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = registered.queries()
+SQL = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,7 @@ def con():
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() <= entry_module.queries().keys()
 
 
 def test_entry_module_needs_no_session():
