@@ -158,7 +158,10 @@ def indexed(docs: DataFrame, width: int, percent: int, tables: tuple[np.ndarray,
             for keys in shingler.sets(_texts(batch)):
                 sig = signature(keys) if len(keys) else None
                 prefix = path = None
-                if len(keys) >= least and recent.new(sig):
+                # Low shingles found nowhere else are outside every intersection.
+                low = keys[: np.searchsorted(keys, np.uint64(1 << 62))]
+                spare = prefix_length(len(keys), percent) - 1
+                if len(keys) >= least and np.count_nonzero(~_bit(shared, low)) <= spare and recent.new(sig):
                     ordered, original = in_global_order(keys, heavy)
                     p = prefix_length(len(keys), percent)
                     head = original[:p]
