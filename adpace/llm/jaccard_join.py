@@ -266,8 +266,31 @@ class Trie:
         return out
 
 
+def spanning(links: Iterator[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """Those links that join sets not yet joined: as good for components, and fewer than the sets."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = parent[x]
+        return x
+
+    kept = []
+    for a, b in links:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            kept.append((a, b))
+    return kept
+
+
 def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links between the probes and the members of each task, given as ``task, member, sig``."""
+    """``a, b``: links between the probes and the members of each task, given as ``task, member, sig``.
+
+    Of a task's links a spanning forest is returned, so a task of like sets gives a row for each
+    set, not for each pair.
+    """
     paths = tasks.join(sets.select("sig", "path"), "sig").select("task", "member", "sig", "path")
     # A task's probes come first, then its members in global order.
     dealt = paths.repartition("task").sortWithinPartitions("task", "member", "path", "sig")
@@ -288,7 +311,7 @@ def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             sides: tuple[list, list] = ([], [])
             for _, member, sig, path in group:
                 sides[member].append((sig, np.frombuffer(path, dtype=">u8").astype(np.uint64)))
-            found = list(links(*sides))
+            found = spanning(links(*sides))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], schema=schema)
 
