@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from adpace import schema as S
 from adpace.functions import bands as B
 from adpace.functions import metrics as M
+from adpace.scratch import work_dir, written
 
 LABEL = "club_display_name"
 
@@ -141,7 +142,7 @@ def club_drilldown(
     rows = filter_advertiser(portfolio, advertiser)
     if urgent_only:
         urgent = rows.filter(F.col("is_urgent_order") & F.col("club_name").isNotNull())
-        rows = rows.join(urgent.select(LABEL).distinct(), LABEL, "left_semi")
+        rows = rows.join(urgent.select(LABEL), LABEL, "left_semi")
     return filter_club(rows, club)
 
 
@@ -150,13 +151,13 @@ def order_share_of_club(
 ) -> DataFrame:
     """Each order's percent of its club's impressions, largest first, then a total row.
 
-    The total row adds the shares up, which gives 100 per club with delivery.
+    The shares of a club with delivery add up to 100. Totals per club are stored: a hot
+    club can then be split in the join, and the total row needs no second join.
     """
     rows = filter_club(filter_advertiser(portfolio, advertiser), club)
-    totals = (
-        rows.filter(F.col(LABEL).isNotNull())
-        .groupBy(LABEL)
-        .agg(F.sum(_imps()).alias("_club_total"))
+    totals = written(
+        rows.groupBy(LABEL).agg(F.sum(_imps()).alias("_club_total")),
+        work_dir(portfolio.sparkSession, "club-totals"),
     )
     share = F.coalesce(M.safe_ratio(_imps() * 100, F.col("_club_total")), F.lit(0.0))
     detail = rows.join(totals, LABEL, "left").select(
@@ -167,11 +168,10 @@ def order_share_of_club(
         share.alias("order_share_of_club"),
         F.lit(0).alias("_last"),
     )
-    total = detail.agg(
-        F.coalesce(F.sum("club_delivered_impressions"), F.lit(0)).alias(
-            "club_delivered_impressions"
-        ),
-        F.coalesce(F.sum("order_share_of_club"), F.lit(0.0)).alias("order_share_of_club"),
+    delivering = F.col(LABEL).isNotNull() & (F.col("_club_total") != 0)
+    total = totals.agg(
+        F.coalesce(F.sum("_club_total"), F.lit(0)).alias("club_delivered_impressions"),
+        (F.count_if(delivering) * F.lit(100.0)).alias("order_share_of_club"),
     ).withColumns(
         {
             LABEL: F.lit(S.TOTAL_LABEL),

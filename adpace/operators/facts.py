@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from adpace.functions import metrics as M
 from adpace.functions.metrics import AsOf
+from adpace.scratch import work_dir, written
 
 
 def order_health(orders: DataFrame, goals: DataFrame, as_of: AsOf) -> DataFrame:
@@ -106,13 +107,14 @@ def domains_with_clubs(
     """Domain rows with their club; an unmapped domain raises unless kept.
 
     The guard sits on the club columns themselves. They are group keys further
-    on, so the optimizer cannot prune it.
+    on, so the optimizer cannot prune it. The club map is stored first: its file
+    size decides on a broadcast, and beyond it a hot domain can be split, which an
+    aggregate between shuffle and join would prevent.
     """
     if on_unmapped not in ("error", "keep"):
         raise ValueError("on_unmapped must be 'error' or 'keep'")
-    mapped = domains.join(
-        first_club_per_domain(clubs), F.lower("domain_name") == F.col("_domain"), "left"
-    ).drop("_domain")
+    first = written(first_club_per_domain(clubs), work_dir(clubs.sparkSession, "club-map"))
+    mapped = domains.join(first, F.lower("domain_name") == F.col("_domain"), "left").drop("_domain")
     if on_unmapped == "keep":
         return mapped
     return mapped.withColumns(
@@ -130,24 +132,29 @@ def club_order_agg(mapped: DataFrame) -> DataFrame:
     )
 
 
-def club_totals(mapped: DataFrame) -> DataFrame:
-    """Impressions per club, straight from the domain rows.
+def club_totals(per_order: DataFrame) -> DataFrame:
+    """Impressions per club, from the rows per (club, order).
 
     A window over a club would bring all its orders into one task; this total
     combines in the scan tasks and its join back is one small row per club.
     """
-    return mapped.groupBy("club_name", "club_display_name").agg(
-        F.sum("ad_server_impressions").alias("total_club_impressions")
+    return per_order.groupBy("club_name", "club_display_name").agg(
+        F.sum("club_delivered_impressions").alias("total_club_impressions")
     )
 
 
 def club_delivery(
     domains: DataFrame, clubs: DataFrame, health: DataFrame, on_unmapped: str = "error"
 ) -> DataFrame:
-    """One row per (club, order): delivery, shares and the order's pacing."""
+    """One row per (club, order): delivery, shares and the order's pacing.
+
+    Rows per (club, order) and the totals per club are stored, so the domain rows
+    are read once and a hot club can be split in the join of both.
+    """
+    root = work_dir(domains.sparkSession, "club-delivery")
     mapped = domains_with_clubs(domains, clubs, on_unmapped)
-    per_order = club_order_agg(mapped)
-    totals = club_totals(mapped).alias("t")
+    per_order = written(club_order_agg(mapped), f"{root}/per-order")
+    totals = written(club_totals(per_order), f"{root}/totals").alias("t")
     order = health.select(
         F.col("order_id").alias("_order_id"),
         "order_delivery_status_name",

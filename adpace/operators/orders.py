@@ -208,7 +208,8 @@ def spotlight(
     if club is not None:
         orders = orders_of_club(orders, portfolio, club)
     index = F.col("pacing_index")
-    n = n or (S.SPOTLIGHT_TOP if best else S.SPOTLIGHT_BOTTOM)
+    if n is None:
+        n = S.SPOTLIGHT_TOP if best else S.SPOTLIGHT_BOTTOM
     return (
         orders.filter(index.isNotNull())
         .select(

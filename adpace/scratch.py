@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,10 +23,16 @@ def _local_root() -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder that the session names.
 
-    Only a session without the setting, such as a local test, gets a temporary
-    folder of its own.
+    That is the setting, or else the context's checkpoint folder. Without either
+    only a local master gets a temporary folder of its own: on a cluster executors
+    would write to disks that the others do not see, so it is an error.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or _local_root()
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -35,6 +42,37 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, path: str) -> None:
+    """Write a table beside ``path`` and put it there once it is whole.
+
+    The old table is set aside by a rename and comes back if the switch fails; a failing
+    write leaves it untouched. ``df`` may read ``path`` itself.
+    """
+    spark = df.sparkSession
+    fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(fresh)
+        had_old = files.exists(jvm_path(path))
+        if had_old:
+            _rename(files, jvm_path(path), jvm_path(old))
+        try:
+            _rename(files, jvm_path(fresh), jvm_path(path))
+        except Exception:
+            if had_old:
+                _rename(files, jvm_path(old), jvm_path(path))
+            raise
+        files.delete(jvm_path(old), True)
+    finally:
+        files.delete(jvm_path(fresh), True)
+
+
+def _rename(files, source, target) -> None:
+    if not files.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
 def all_written(tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
     """Write independent tables as concurrent jobs, given as ``name: (df, path)``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,11 +105,16 @@ def latest_report(
 
     File contents are not read: only path and modification time are selected.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(directory)
-        .select("path", "modificationTime")
-    )
+    try:
+        files = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", pattern)
+            .load(directory)
+            .select("path", "modificationTime")
+        )
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     order = F.struct("modificationTime", "path")
     return files.agg(F.max_by("path", order)).first()[0]

@@ -430,7 +430,7 @@ def club_order_agg(t: Tables) -> DataFrame:
 
 @_query
 def club_totals(t: Tables) -> DataFrame:
-    return facts.club_totals(facts.domains_with_clubs(t.domains, t.clubs))
+    return facts.club_totals(facts.club_order_agg(facts.domains_with_clubs(t.domains, t.clubs)))
 
 
 @_query

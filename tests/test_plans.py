@@ -127,3 +127,51 @@ def test_a_hot_order_is_split_and_the_result_stays_whole(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_hot_clubs_and_domains_are_split(spark):
+    """Nine tenths of all rows in one domain and one club, without broadcasts."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        ids = spark.range(40000)
+        cold = F.col("id") % 10 == 0
+        rows = ids.select(
+            F.col("id").alias("order_id"), F.concat(F.lit("n"), "id").alias("order_name"),
+            F.col("id").alias("line_item_id"), F.lit("l").alias("line_item_name"), F.lit("A").alias("advertiser_name"),
+            F.when(cold, F.concat(F.lit("d"), F.col("id") % 50)).otherwise("a.com").alias("domain_name"),
+            F.lit(1).cast("bigint").alias("ad_server_impressions"),
+        )
+        stored = work_dir(spark, "hot-club")
+        rows.repartition(8).write.parquet(stored)
+        names = [("A.com", "a", "Club A")] + [(f"d{i}", f"c{i}", f"Club {i}") for i in range(0, 50, 10)]
+        domains = facts.domains_with_clubs(spark.read.parquet(stored), club_map(spark, *names))
+        assert len(domains.collect()) == 40000
+        assert "skew=true" in plan(domains)
+        cold = F.col("order_id") % 10 == 0
+        portfolio = rows.select(
+            "order_id", "order_name", "advertiser_name",
+            F.when(cold, F.concat(F.lit("Club "), F.col("order_id") % 50)).otherwise("Club A").alias("club_display_name"),
+            F.col("ad_server_impressions").alias("club_delivered_impressions"),
+            F.when(cold, F.lit("c")).otherwise("a").alias("club_name"), (~cold).alias("is_urgent_order"),
+        )
+        folder = work_dir(spark, "hot-portfolio")
+        portfolio.repartition(8).write.parquet(folder)
+        portfolio = spark.read.parquet(folder)
+        shares = C.order_share_of_club(portfolio)
+        assert len(shares.collect()) == 40001
+        assert "skew=true" in plan(shares)
+        urgent = C.club_drilldown(portfolio, urgent_only=True)
+        assert len(urgent.collect()) == 36000
+        assert "skew=true" in plan(urgent)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
