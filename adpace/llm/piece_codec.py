@@ -4,7 +4,8 @@ Encoding picks the pieces with the largest sum of scores. The search keeps a win
 positions bounded by the longest piece and commits ids whenever the backpointer paths of
 all positions that are still reachable meet in one boundary. Where no piece can reach
 across (before each word's mark, if the vocabulary has no mark inside a piece), paths
-always meet; stretches between such boundaries are searched once per task and remembered.
+always meet; stretches between such boundaries are searched once and remembered, and
+those within the window many at a time, in step.
 Characters without a piece become byte pieces. The library only reads the vocabulary file.
 
 Defined results: null text has no ids and decodes to the empty text, as does an empty
@@ -20,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,10 @@ WINDOW = 64
 UNKNOWN_COST = 10.0
 
 _ABSENT = object()
+_ODD = 0x9E3779B97F4A7C15
+#: Characters of stretches that are searched together, and of texts that are encoded together.
+CELLS = 1 << 18
+TOGETHER = 1 << 20
 
 
 @dataclass
@@ -56,6 +62,93 @@ class Vocabulary:
         self.trie = dict.fromkeys(self.starts) | self.scores
         self.cuts_at_mark = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.byte_of = {piece: b for b, piece in enumerate(self.bytes_)}
+        self._table: Table | None = None
+
+    def table(self) -> Table:
+        if self._table is None:
+            self._table = Table(self)
+        return self._table
+
+
+class Table:
+    """The pieces and their proper starts by 64-bit key, to search many short stretches in step."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.bytes_ = vocabulary.bytes_
+        self.worst = vocabulary.worst
+        nodes = list(vocabulary.trie)
+        keys = np.array([self._key(x) for x in nodes], dtype=np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one key")
+        scores = [vocabulary.scores.get(x, -math.inf) for x in nodes]
+        self.scores = np.array(scores, dtype=float)[order]
+        self.ids = np.array([vocabulary.ids.get(x, -1) for x in nodes], dtype=np.int32)[order]
+
+    @staticmethod
+    def _key(text: str) -> int:
+        key = 0
+        for c in text:
+            key = (key * _ODD + ord(c) + 1) % (1 << 64)
+        return key
+
+    def _edges(self, points: np.ndarray, lengths: np.ndarray):
+        """``row, start, size, score, id`` of every piece in every stretch, and single characters without one."""
+        rows, starts = np.nonzero(np.arange(points.shape[1]) < lengths[:, None])
+        key = np.zeros(len(rows), dtype=np.uint64)
+        size = 0
+        while len(rows):
+            size += 1
+            key = key * np.uint64(_ODD) + points[rows, starts + size - 1] + np.uint64(1)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+            score = np.where(found, self.scores[at], -np.inf)
+            ids = np.where(found, self.ids[at], -1)
+            if size == 1:
+                score = np.where(np.isneginf(score), self.worst, score)
+            real = score > -np.inf
+            yield rows[real], starts[real], np.full(int(real.sum()), size), score[real], ids[real]
+            on = found & (starts + size < lengths[rows])
+            rows, starts, key = rows[on], starts[on], key[on]
+
+    def search(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of each stretch: sums grow by end position, longer pieces first, so equal sums keep them."""
+        n, longest = len(stretches), max(map(len, stretches))
+        lengths = np.array([len(s) for s in stretches])
+        flat = np.frombuffer("".join(s.ljust(longest, "\x00") for s in stretches).encode("utf-32-le"), dtype=np.uint32)
+        points = flat.reshape(n, longest).astype(np.uint64)
+        row, start, size, score, ids = (np.concatenate(x) for x in zip(*self._edges(points, lengths)))
+        end = start + size
+        # By end, then from the longest piece to the shortest; at most WINDOW * (WINDOW + 1) groups.
+        group = (end * (longest + 1) - size).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        borders = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        sums = np.full((n, longest + 1), -np.inf)
+        sums[:, 0] = 0.0
+        back = np.zeros((n, longest + 1), dtype=np.int32)
+        piece = np.full((n, longest + 1), -1, dtype=np.int32)
+        for a, b in zip(borders[:-1], borders[1:]):
+            own = order[a:b]  # one end and one size: each stretch once
+            r, e = row[own], end[own[0]]
+            total = sums[r, start[own]] + score[own]
+            better = total > sums[r, e]
+            r, own = r[better], own[better]
+            sums[r, e], back[r, e], piece[r, e] = total[better], start[own], ids[own]
+        out = []
+        for text, backs, pieces in zip(stretches, back.tolist(), piece.tolist()):
+            found: list[int] = []
+            at = len(text)
+            while at:
+                if pieces[at] >= 0:
+                    found.append(pieces[at])
+                else:
+                    found += [self.bytes_[b] for b in reversed(text[backs[at] : at].encode())]
+                at = backs[at]
+            found.reverse()
+            out.append(found)
+        return out
 
 
 def load(path: str = MODEL_PATH) -> Vocabulary:
@@ -99,16 +192,50 @@ class Encoder:
             out += mark_bytes + self._stretches(part.replace(" ", MARK))
         return out
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of several texts; the stretches new to this task are searched together."""
+        split = [[] if not t or MARK in t else self.stretches.findall(MARK + t.replace(" ", MARK)) for t in texts]
+        known = self.known
+        new = {s for stretches in split for s in stretches if s not in known and len(s) <= WINDOW}
+        if len(known) + len(new) > self.memory:
+            known.clear()
+            new = {s for stretches in split for s in stretches if len(s) <= WINDOW}
+        self._search_together(sorted(new, key=len))
+        out = []
+        for text, stretches in zip(texts, split):
+            if not stretches:
+                out.append(self.encode(text))
+                continue
+            ids: list[int] = []
+            for s in stretches:
+                found = known.get(s)
+                ids += self._search_long(s) if found is None else found
+            out.append(ids)
+        return out
+
+    def _search_long(self, text: str) -> list[int]:
+        return [i for part in self.commits(text) for i in part] if len(text) > WINDOW else self._search(text)
+
+    def _search_together(self, stretches: list[str]) -> None:
+        """Remember the ids of stretches, given by length, each within the window."""
+        at = 0
+        while at < len(stretches):
+            # Stretches of like length, about CELLS characters of them.
+            upto = at + max(1, CELLS // len(stretches[at]))
+            part = stretches[at:upto]
+            while len(part) > 1 and len(part) * len(part[-1]) > 2 * CELLS:
+                part = part[: len(part) // 2]
+            at += len(part)
+            self.known.update(zip(part, self.vocabulary.table().search(part)))
+
     def _stretches(self, text: str) -> list[int]:
         out: list[int] = []
         known = self.known
         for stretch in self.stretches.findall(text):
             ids = known.get(stretch)
             if ids is None:
-                if len(stretch) > WINDOW:
-                    ids = [i for part in self.commits(stretch) for i in part]
-                else:
-                    ids = self._search(stretch)
+                ids = self._search_long(stretch)
+                if len(stretch) <= WINDOW:
                     if len(known) >= self.memory:
                         known.clear()
                     known[stretch] = ids
@@ -209,7 +336,14 @@ def encode_documents(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
         encoder = Encoder(vocabulary)
 
         def apply(rows):
-            return {"doc_id": rows["doc_id"], "ids": [encoder.encode(t.decode()) if t else [] for t in rows["text"]]}
+            ids, waiting, size = [], [], 0
+            for text in rows["text"]:
+                waiting.append(text.decode() if text else "")
+                size += len(waiting[-1])
+                if size >= TOGETHER:
+                    ids += encoder.encode_all(waiting)
+                    waiting, size = [], 0
+            return {"doc_id": rows["doc_id"], "ids": ids + encoder.encode_all(waiting)}
 
         return apply
 
