@@ -46,4 +46,9 @@ def map_columns(
 def _values(column: pa.Array) -> list:
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    if pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type) and not column.values.null_count:
+        # Row by row through NumPy, which is many times faster than value by value.
+        values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+        rows = [values[a:b].tolist() for a, b in zip(at, at[1:])]
+        return [x if valid else None for x, valid in zip(rows, column.is_valid().to_pylist())]
     return column.to_pylist()
