@@ -24,7 +24,8 @@ def map_columns(
     """Apply a function on columns of Python values to each Arrow batch.
 
     ``make`` runs once per task and returns the function, so compiled patterns
-    and tables are set up there. Text columns arrive as UTF-8 bytes.
+    and tables are set up there. Text columns arrive as UTF-8 bytes; a column
+    may be returned as an Arrow array.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
@@ -37,7 +38,10 @@ def map_columns(
                 name: _values(batch.column(i)) for i, name in enumerate(batch.schema.names)
             }
             made = apply(columns)
-            arrays = [pa.array(made[f.name], type=f.type, from_pandas=False) for f in arrow]
+            arrays = [
+                x.cast(f.type) if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type, from_pandas=False)
+                for f in arrow
+            ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,15 @@ CELLS = 1 << 18
 TOGETHER = 1 << 20
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers, one after another."""
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
+def unpacked_ids(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, dtype=np.int32).tolist()
+
+
 @dataclass
 class Vocabulary:
     """Pieces by text with id and score, and the ids of single bytes."""
@@ -75,6 +85,7 @@ class Table:
 
     def __init__(self, vocabulary: Vocabulary):
         self.bytes_ = vocabulary.bytes_
+        self.ascii_ids = np.array(vocabulary.bytes_[:128], dtype=np.int32)
         self.worst = vocabulary.worst
         nodes = list(vocabulary.trie)
         keys = np.array([self._key(x) for x in nodes], dtype=np.uint64)
@@ -112,8 +123,8 @@ class Table:
             on = found & (starts + size < lengths[rows])
             rows, starts, key = rows[on], starts[on], key[on]
 
-    def search(self, stretches: list[str]) -> list[list[int]]:
-        """Ids of each stretch: sums grow by end position, longer pieces first, so equal sums keep them."""
+    def search(self, stretches: list[str]) -> list[bytes]:
+        """Packed ids of each stretch: sums grow by end position, longer pieces first, so equal sums keep them."""
         n, longest = len(stretches), max(map(len, stretches))
         lengths = np.array([len(s) for s in stretches])
         flat = np.frombuffer("".join(s.ljust(longest, "\x00") for s in stretches).encode("utf-32-le"), dtype=np.uint32)
@@ -136,20 +147,46 @@ class Table:
             better = total > sums[r, e]
             r, own = r[better], own[better]
             sums[r, e], back[r, e], piece[r, e] = total[better], start[own], ids[own]
-        out = []
-        for text, backs, pieces in zip(stretches, back.tolist(), piece.tolist()):
-            found: list[int] = []
-            at = len(text)
-            while at:
-                if pieces[at] >= 0:
-                    found.append(pieces[at])
-                else:
-                    found += [self.bytes_[b] for b in reversed(text[backs[at] : at].encode())]
-                at = backs[at]
-            found.reverse()
-            out.append(found)
+        return self._paths(stretches, points, lengths, back, piece)
+
+    def _paths(
+        self, stretches: list[str], points: np.ndarray, lengths: np.ndarray, back: np.ndarray, piece: np.ndarray
+    ) -> list[bytes]:
+        """Walk all best paths back in step; column ``k`` holds each path's piece ``k`` from its end."""
+        n = len(stretches)
+        columns, wide = [], np.zeros(n, dtype=bool)
+        rows, at = np.arange(n), lengths
+        while len(rows):
+            ids, before = piece[rows, at], back[rows, at]
+            bare = np.flatnonzero(ids < 0)
+            code = points[rows[bare], before[bare]]
+            wide[rows[bare[code >= 128]]] = True
+            ids[bare] = self.ascii_ids[np.minimum(code, 127)]
+            column = np.full(n, -1, dtype=np.int32)
+            column[rows] = ids
+            columns.append(column)
+            on = before > 0
+            rows, at = rows[on], before[on]
+        grid = np.stack(columns[::-1], axis=1)
+        held = grid >= 0
+        packed = grid[held].tobytes()
+        ends = (np.cumsum(held.sum(axis=1)) * 4).tolist()
+        out = [packed[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(wide).tolist():  # characters of several bytes
+            out[i] = self._path(stretches[i], back[i].tolist(), piece[i].tolist())
         return out
 
+    def _path(self, text: str, back: list[int], piece: list[int]) -> bytes:
+        found: list[int] = []
+        at = len(text)
+        while at:
+            if piece[at] >= 0:
+                found.append(piece[at])
+            else:
+                found += [self.bytes_[b] for b in reversed(text[back[at] : at].encode())]
+            at = back[at]
+        return packed_ids(found[::-1])
+
 
 def load(path: str = MODEL_PATH) -> Vocabulary:
     """Read a vocabulary file, on the driver."""
@@ -176,7 +213,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY):
         self.vocabulary = vocabulary
         self.memory = memory
-        self.known: dict[str, list[int]] = {}
+        #: Packed ids of stretches within the window.
+        self.known: dict[str, bytes] = {}
         self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if vocabulary.cuts_at_mark else re.compile("(?s:.+)")
 
     def encode(self, text: str) -> list[int]:
@@ -192,26 +230,24 @@ class Encoder:
             out += mark_bytes + self._stretches(part.replace(" ", MARK))
         return out
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of several texts; the stretches new to this task are searched together."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of several texts; the stretches new to this task are searched together."""
         split = [[] if not t or MARK in t else self.stretches.findall(MARK + t.replace(" ", MARK)) for t in texts]
         known = self.known
-        new = {s for stretches in split for s in stretches if s not in known and len(s) <= WINDOW}
+        distinct = set().union(*split)
+        new = [s for s in distinct if s not in known]
         if len(known) + len(new) > self.memory:
             known.clear()
-            new = {s for stretches in split for s in stretches if len(s) <= WINDOW}
-        self._search_together(sorted(new, key=len))
-        out = []
-        for text, stretches in zip(texts, split):
-            if not stretches:
-                out.append(self.encode(text))
-                continue
-            ids: list[int] = []
-            for s in stretches:
-                found = known.get(s)
-                ids += self._search_long(s) if found is None else found
-            out.append(ids)
-        return out
+            new = list(distinct)
+        self._search_together(sorted((s for s in new if len(s) <= WINDOW), key=len))
+        long = [s for s in new if len(s) > WINDOW]
+        known.update((s, packed_ids(self._search_long(s))) for s in long)
+        out = [
+            b"".join(map(known.__getitem__, stretches)) if stretches else None for stretches in split
+        ]
+        for s in long:
+            del known[s]
+        return [packed_ids(self.encode(t)) if ids is None else ids for t, ids in zip(texts, out)]
 
     def _search_long(self, text: str) -> list[int]:
         return [i for part in self.commits(text) for i in part] if len(text) > WINDOW else self._search(text)
@@ -232,13 +268,15 @@ class Encoder:
         out: list[int] = []
         known = self.known
         for stretch in self.stretches.findall(text):
-            ids = known.get(stretch)
-            if ids is None:
+            packed = known.get(stretch)
+            if packed is None:
                 ids = self._search_long(stretch)
                 if len(stretch) <= WINDOW:
                     if len(known) >= self.memory:
                         known.clear()
-                    known[stretch] = ids
+                    known[stretch] = packed_ids(ids)
+            else:
+                ids = unpacked_ids(packed)
             out += ids
         return out
 
@@ -336,14 +374,17 @@ def encode_documents(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
         encoder = Encoder(vocabulary)
 
         def apply(rows):
-            ids, waiting, size = [], [], 0
+            packed, waiting, size = [], [], 0
             for text in rows["text"]:
                 waiting.append(text.decode() if text else "")
                 size += len(waiting[-1])
                 if size >= TOGETHER:
-                    ids += encoder.encode_all(waiting)
+                    packed += encoder.encode_all(waiting)
                     waiting, size = [], 0
-            return {"doc_id": rows["doc_id"], "ids": ids + encoder.encode_all(waiting)}
+            packed += encoder.encode_all(waiting)
+            at = np.cumsum([0, *[len(x) // 4 for x in packed]], dtype=np.int32)
+            ids = np.frombuffer(b"".join(packed), dtype=np.int32)
+            return {"doc_id": rows["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(ids))}
 
         return apply
 
