@@ -42,6 +42,8 @@ def club_summary(portfolio: DataFrame) -> DataFrame:
     id, and a missing name falls through to the next order that has one.
     """
     imps, status, index = _imps(), _status(), F.col("order_pacing_index")
+    # Sums of decimals do not depend on the order of rows.
+    weighted = index.cast("decimal(24,9)") * imps.cast("decimal(13,0)")
     rank = F.struct(F.col("order_share_of_club_delivery"), -F.col("order_id"))
     finite = M.is_finite(index)
 
@@ -61,7 +63,7 @@ def club_summary(portfolio: DataFrame) -> DataFrame:
             imps_when("behind"),
             imps_when("on_track"),
             imps_when("ahead"),
-            F.sum(F.when(finite, index * imps).otherwise(0.0)).alias("pacing_weighted_imps"),
+            F.coalesce(F.sum(F.when(finite, weighted)), F.lit(0)).cast("double").alias("pacing_weighted_imps"),
             F.sum(F.when(finite, imps).otherwise(0)).alias("pacing_imps"),
             F.max("order_share_of_club_delivery").alias("top_order_share"),
             of_top_order(status).alias("top_order_pacing_status"),

@@ -20,6 +20,11 @@ STORED_AGGREGATES = {
     "line_items_table": rollups.line_items_table,
     "delivery_facts": rollups.delivery_facts,
 }
+ROLLUPS = {
+    "orders": rollups.order_rollup,
+    "line_items": rollups.line_item_rollup,
+    "size_rollup": rollups.creative_size_rollup,
+}
 
 
 @dataclass(frozen=True)
@@ -40,24 +45,34 @@ def store_inputs(inputs: Inputs, root: str) -> Inputs:
     return Inputs(**stored)
 
 
+def store_rollups(delivery: DataFrame, root: str) -> dict[str, DataFrame]:
+    """Write the rollups that feed the facts under ``root`` and return their scans."""
+    return all_written(
+        {n: (build(delivery), f"{root}/rollups/{n}") for n, build in ROLLUPS.items()}
+    )
+
+
+def stored_rollups(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The rollups of an earlier build under ``root``."""
+    return {n: spark.read.parquet(f"{root}/rollups/{n}") for n in ROLLUPS}
+
+
 def build_facts(
-    inputs: Inputs, as_of: AsOf, root: str, on_unmapped: str = "error"
+    inputs: Inputs,
+    as_of: AsOf,
+    root: str,
+    on_unmapped: str = "error",
+    staged: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Write the four facts under ``root`` and return their scans, with the rollups.
 
     ``root`` should be a new folder per build: readers keep the previous build
-    until they switch. The rollups feed several facts, so they are written once
-    to the shared scratch folder; every fact reads tables instead of
-    recomputing lineage.
+    until they switch. The rollups feed several facts, so they are written once,
+    also under ``root``; with the rollups of an earlier build as ``staged`` the
+    report itself is not read.
     """
-    stage = work_dir(inputs.delivery.sparkSession, "rollups")
-    staged = all_written(
-        {
-            "orders": (rollups.order_rollup(inputs.delivery), f"{stage}/orders"),
-            "line_items": (rollups.line_item_rollup(inputs.delivery), f"{stage}/line_items"),
-            "size_rollup": (rollups.creative_size_rollup(inputs.delivery), f"{stage}/sizes"),
-        }
-    )
+    if staged is None:
+        staged = store_rollups(inputs.delivery, root)
     line_items, sizes = staged["line_items"], staged["size_rollup"]
     health = written(
         facts.order_health(staged["orders"], inputs.goals, as_of), f"{root}/order_health"
@@ -91,12 +106,13 @@ def build_all(
     root: str,
     on_unmapped: str = "error",
     register_views: bool = False,
+    staged: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Facts as tables under ``root``, marts as views; optionally as temp views too.
 
     The result also holds the staged rollups, by the names that checks use.
     """
-    tables = build_facts(inputs, as_of, root, on_unmapped)
+    tables = build_facts(inputs, as_of, root, on_unmapped, staged)
     tables |= mart_views(tables, as_of)
     if register_views:
         for name, df in tables.items():
@@ -131,8 +147,14 @@ def refresh_after_goal_edits(
     as_of: AsOf,
     root: str,
     on_unmapped: str = "error",
+    built: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Persist goal edits at ``goals_path`` and rebuild every table from them."""
+    """Persist goal edits at ``goals_path`` and rebuild every table from them.
+
+    Goals do not change a rollup: with ``built``, the folder of a build of the same
+    report, its rollups are read instead of the report.
+    """
+    staged = None if built is None else stored_rollups(inputs.goals.sparkSession, built)
     goals = save_goal_edits(inputs.goals, edits, goals_path)
     edited = Inputs(inputs.delivery, goals, inputs.domains, inputs.clubs)
-    return build_all(edited, as_of, root, on_unmapped)
+    return build_all(edited, as_of, root, on_unmapped, staged=staged)

@@ -68,11 +68,26 @@ def read_delivery_report(
 
 
 def with_row_hash(df: DataFrame) -> DataFrame:
-    """MD5 of the report columns as text, joined by ``|``, missing as empty text."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in S.DELIVERY_COLUMNS]
+    """MD5 of the report columns as text, joined by ``|``, missing as empty text.
+
+    Numbers count by value: other zeros around them give the same hash.
+    """
+    held = dict(df.dtypes)
+    parts = []
+    for name, ddl in S.DELIVERY_FIELDS:
+        text = F.col(name).cast("string")
+        if held[name] == "string" and ddl in ("bigint", "int") or ddl.startswith("decimal"):
+            text = number_text(text)
+        parts.append(F.coalesce(text, F.lit("")))
     return df.withColumn(ROW_HASH, F.md5(F.concat_ws("|", *parts)))
 
 
+def number_text(text: Column) -> Column:
+    """A number without a plus, leading zeros or trailing decimal zeros; other text as it is."""
+    number = r"^(?:\+|(-))?0*([0-9]+)(?:\.0*|(\.[0-9]*[1-9])0*)?$"
+    return F.regexp_replace(F.trim(text), number, "$1$2$3")
+
+
 def typed(name: str, ddl: str) -> Column:
     """A text column cast to its stored type; a malformed value fails the job.
 

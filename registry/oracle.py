@@ -49,7 +49,10 @@ def _rounded_ctr(clicks: str, imps: str) -> str:
 
 
 _TEXT_COLUMNS = ", ".join(
-    f"coalesce(CAST({c} AS VARCHAR), '')" for c in S.DELIVERY_COLUMNS
+    f"coalesce(regexp_replace(CAST({n} AS VARCHAR), '\\.?0+$', ''), '')"
+    if t.startswith("decimal")
+    else f"coalesce(CAST({n} AS VARCHAR), '')"
+    for n, t in S.DELIVERY_FIELDS
 )
 _REPORT_COLUMNS = ", ".join(
     f"CAST({n} AS DOUBLE) AS {n}" if t.startswith("decimal") else n
@@ -414,7 +417,7 @@ FROM (
          CAST(coalesce(sum(club_delivered_impressions) FILTER (order_pacing_status = 'behind'), 0) AS BIGINT) AS imps_from_behind,
          CAST(coalesce(sum(club_delivered_impressions) FILTER (order_pacing_status = 'on_track'), 0) AS BIGINT) AS imps_from_on_track,
          CAST(coalesce(sum(club_delivered_impressions) FILTER (order_pacing_status = 'ahead'), 0) AS BIGINT) AS imps_from_ahead,
-         coalesce(sum(order_pacing_index * CAST(club_delivered_impressions AS DOUBLE)), 0.0::DOUBLE) AS weighted,
+         CAST(coalesce(sum(CAST(order_pacing_index AS DECIMAL(24,9)) * CAST(club_delivered_impressions AS DECIMAL(13,0))), 0) AS DOUBLE) AS weighted,
          CAST(coalesce(sum(club_delivered_impressions) FILTER (order_pacing_index IS NOT NULL), 0) AS BIGINT) AS pacing_imps
   FROM portfolio WHERE club_name IS NOT NULL AND club_display_name IS NOT NULL
   GROUP BY 1, 2) b
@@ -431,7 +434,7 @@ QUALIFY row_number() OVER (PARTITION BY club_name, club_display_name
 _CTES["summary"] = """
 SELECT b.club_name, b.club_display_name, club_total_impressions, active_orders, urgent_orders,
        imps_from_behind, imps_from_on_track, imps_from_ahead,
-       round(weighted, -3) AS pacing_weighted_imps, pacing_imps,
+       round(weighted, 3) AS pacing_weighted_imps, pacing_imps,
        top_order_share, top_order_pacing_status, top_order_name,
        round(pace, 9) AS club_pacing_index, at_risk_share,
        CASE WHEN pace >= 0.95 AND at_risk_share <= 0.30 THEN 'healthy'
@@ -466,10 +469,10 @@ WITH_ROWS AS (
   LEFT JOIN (SELECT club_display_name, sum(club_delivered_impressions) AS total FROM {rows} GROUP BY 1) t
     ON p.club_display_name = t.club_display_name)
 SELECT club_display_name, order_name, advertiser_name, club_delivered_impressions,
-       round(order_share_of_club, 6) AS order_share_of_club FROM WITH_ROWS
+       round(order_share_of_club, 9) AS order_share_of_club FROM WITH_ROWS
 UNION ALL
 SELECT 'Total', '', '', CAST(coalesce(sum(club_delivered_impressions), 0) AS BIGINT),
-       round(coalesce(sum(order_share_of_club), 0.0::DOUBLE), 6) FROM WITH_ROWS
+       round(coalesce(sum(order_share_of_club), 0.0::DOUBLE), 9) FROM WITH_ROWS
 """
 
 

@@ -345,8 +345,9 @@ def goal_edits(t: Tables) -> DataFrame:
 @_query
 def refresh_after_goal_edits(t: Tables) -> DataFrame:
     root = work_dir(t.spark, "warehouse")
+    warehouse.store_rollups(t.inputs.delivery, root)
     tables = warehouse.refresh_after_goal_edits(
-        t.inputs, _edits(t), f"{root}/goals", retail.AS_OF, root
+        t.inputs, _edits(t), f"{root}/goals", retail.AS_OF, f"{root}/next", built=root
     )
     return tables["order_pacing_summary"]
 
@@ -583,7 +584,7 @@ def format_spotlight(t: Tables) -> DataFrame:
 
 @_query
 def club_summary(t: Tables) -> DataFrame:
-    digits = {"club_pacing_index": 9, "pacing_weighted_imps": -3}
+    digits = {"club_pacing_index": 9, "pacing_weighted_imps": 3}
     return C.club_summary(t.portfolio).withColumns(
         {c: F.round(c, d) for c, d in digits.items()}
     )
@@ -620,7 +621,7 @@ def club_drilldown_by_club(t: Tables) -> DataFrame:
 
 
 def _rounded_share(df: DataFrame) -> DataFrame:
-    return df.withColumn("order_share_of_club", F.round("order_share_of_club", 6))
+    return df.withColumn("order_share_of_club", F.round("order_share_of_club", 9))
 
 
 @_query

@@ -62,6 +62,18 @@ def test_columns_may_be_reordered_and_extra(spark, tmp_path):
     assert row.row_hash == LINE_HASH
 
 
+def test_zeros_around_numbers_do_not_change_the_hash(spark, tmp_path):
+    other = fields(
+        order_id="001001", line_item_delivery_indicator="0.4500", ad_server_ctr="+0.012", ad_server_clicks="1500.0"
+    )
+    path = write(tmp_path / "r.csv", HEADER, LINE, other, fields(ad_server_clicks="15000"), fields(ad_server_ctr="0.0"))
+    rows = [r.row_hash for r in D.read_delivery_report(spark, path).collect()]
+    assert rows[:2] == [LINE_HASH] * 2 and len(set(rows)) == 3
+    target = str(tmp_path / "stored")
+    assert L.load_report(spark, write(tmp_path / "a.csv", HEADER, LINE), target, mode="upsert").rows == 1
+    assert L.load_report(spark, write(tmp_path / "b.csv", HEADER, other), target, mode="upsert").rows == 0
+
+
 def test_missing_columns_are_all_named(spark, tmp_path):
     names = [c for c in S.DELIVERY_COLUMNS if c not in ("order_id", "creative_name")]
     path = write(tmp_path / "r.csv", ",".join(names), ",".join("x" for _ in names))

@@ -1,5 +1,7 @@
 """Data checks and the warehouse plan."""
 
+from dataclasses import replace
+
 import pytest
 
 from adpace.operators import quality as Q
@@ -86,6 +88,13 @@ def test_goal_edits_rebuild_the_marts(spark):
     got = X.by(tables["order_pacing_summary"], "order_id")
     assert (got[1001].impression_goal, got[1001].pacing_status) == (125000, "on_track")
     assert got[1002].pacing_status == "behind"
+    # From the rollups of that build the same follows without the report.
+    inputs = sample_inputs(spark)
+    inputs = replace(inputs, delivery=inputs.delivery.filter("CAST(raise_error('read') AS BOOLEAN)"))
+    again = warehouse.refresh_after_goal_edits(
+        inputs, edits, f"{root}/goals-again", "2025-04-20", f"{root}/again", built=root
+    )
+    assert X.by(again["order_pacing_summary"], "order_id") == got
 
 
 def test_aggregate_tables_and_their_constraints(spark):
