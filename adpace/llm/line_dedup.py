@@ -82,7 +82,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     drop = lines_to_drop(docs, min_chars, min_docs)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    joined = rows.join(drop, F.col("doc.doc_id").eqNullSafe(F.col("line_doc")), "left").select("doc", "drop")
+    # The drop lists grow with the input, so they are never broadcast; small inputs run as large ones do.
+    joined = rows.join(drop.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("line_doc")), "left").select("doc", "drop")
     schema = T.StructType(
         [rows.schema["doc"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     )
