@@ -30,6 +30,8 @@ from adpace.scratch import work_dir, written
 ORDERS = (2, 3, 4)
 DOCS_PER_LANGUAGE = 500
 GRAMS_PER_LANGUAGE = 6000
+#: Parts of a language that are cut to the sample's size before they meet in one task.
+SLICES = 64
 #: A language contains an n-gram if its share there is at least this part of the highest share anywhere.
 MIN_OF_HIGHEST = 0.4
 MAX_LANGUAGES = 32
@@ -117,10 +119,14 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     known = docs.filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    # Choose by id first: only the sample's texts travel.
-    ids = known.select("doc_id", "lang", F.lit(None).cast("string").alias("text"))
-    chosen = ids.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= docs_per_language)
+    # Choose by id first: only the sample's texts travel. The last task of a language gets
+    # at most SLICES * docs_per_language ids, however many tasks read the documents.
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = known.select("doc_id", "lang", F.pmod(order[0], F.lit(SLICES)).alias("slice"))
+    chosen = ids
+    for group in (("lang", "slice"), ("lang",)):
+        at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        chosen = chosen.withColumn("at", at).filter(F.col("at") <= docs_per_language)
     chosen = F.broadcast(chosen.select("doc_id").distinct())  # at most docs_per_language rows a language
     sample = known.join(chosen, "doc_id", "left_semi").select("lang", "text")
 
