@@ -17,6 +17,7 @@ DateBound = dt.date | str | Column
 
 # Days before the reporting date at which a preset range starts.
 PRESET_DAYS_BACK = {"past_7": 6, "past_30": 29}
+PRESETS = (*PRESET_DAYS_BACK, "year_to_date", "all")
 
 
 def _status(column: str = "pacing_status") -> Column:
@@ -40,25 +41,37 @@ def enrich_orders(orders: DataFrame, as_of: AsOf) -> DataFrame:
     )
 
 
+def _preset_range(preset: str, today: Column) -> Column:
+    first, last = F.min("schedule_end_date"), F.max("schedule_end_date")
+    if preset == "all":
+        start, end = first, last
+    else:
+        if preset == "year_to_date":
+            start = F.trunc(today, "year")
+        elif preset in PRESET_DAYS_BACK:
+            start = F.date_sub(today, PRESET_DAYS_BACK[preset])
+        else:
+            raise ValueError(f"unknown preset {preset!r}")
+        start = F.when(first.isNotNull(), F.greatest(start, first))
+        end = F.when(last.isNotNull(), F.least(today, last))
+    return F.struct(
+        F.lit(preset).alias("preset"), start.alias("range_start"), end.alias("range_end")
+    )
+
+
 def date_preset_range(orders: DataFrame, preset: str, as_of: AsOf) -> DataFrame:
     """One row with the range of a preset, bounded to the end dates present.
 
     Presets: ``past_7``, ``past_30``, ``year_to_date`` and ``all``.
     """
-    today = as_of_date(as_of)
-    first, last = F.min("schedule_end_date"), F.max("schedule_end_date")
-    if preset == "all":
-        return orders.agg(first.alias("range_start"), last.alias("range_end"))
-    if preset == "year_to_date":
-        start = F.trunc(today, "year")
-    elif preset in PRESET_DAYS_BACK:
-        start = F.date_sub(today, PRESET_DAYS_BACK[preset])
-    else:
-        raise ValueError(f"unknown preset {preset!r}")
-    return orders.agg(
-        F.when(first.isNotNull(), F.greatest(start, first)).alias("range_start"),
-        F.when(last.isNotNull(), F.least(today, last)).alias("range_end"),
-    )
+    found = orders.agg(_preset_range(preset, as_of_date(as_of)).alias("found"))
+    return found.select("found.range_start", "found.range_end")
+
+
+def date_preset_ranges(orders: DataFrame, as_of: AsOf) -> DataFrame:
+    """The range of every preset, a row each, from one pass over the orders."""
+    found = [_preset_range(p, as_of_date(as_of)) for p in PRESETS]
+    return orders.agg(F.array(*found).alias("found")).select(F.inline("found"))
 
 
 def _bound(value: DateBound) -> Column:
@@ -97,10 +110,8 @@ def filter_orders(
     elif delivery_status is not None:
         orders = orders.filter(F.col("order_delivery_status_name") == delivery_status)
     if isinstance(date_range, DataFrame):
-        date_range = (
-            date_range.select("range_start").scalar(),
-            date_range.select("range_end").scalar(),
-        )
+        bounds = date_range.select(F.struct("range_start", "range_end")).scalar()
+        date_range = (bounds["range_start"], bounds["range_end"])
     if date_range is not None and "schedule_end_date" in orders.columns:
         orders = orders.filter(overlaps(orders.columns, *date_range))
     return orders

@@ -7,12 +7,40 @@ large the store has grown.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from adpace.operators.loading import STORED_SCHEMA, LoadResult, new_rows
+from adpace import schema as S
 from adpace.sources.delivery import ROW_HASH
 
+STORED_SCHEMA = T.StructType(
+    S.DELIVERY_SCHEMA.fields + [T.StructField(ROW_HASH, T.StringType())]
+)
+
+
+@dataclass(frozen=True)
+class LoadResult:
+    """How a load went: its mode and the rows it wrote (or parsed, to validate)."""
+
+    mode: str
+    rows: int
+
+
+def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows of a batch whose hash is not stored yet; duplicates collapse to one.
+
+    Both sides meet partitioned by hash, which spreads evenly, and combine
+    equal hashes before the shuffle. Of the stored table only the hash column
+    is read. A restated row has another hash and is new.
+    """
+    seen = existing.select(ROW_HASH).distinct()
+    return batch.dropDuplicates([ROW_HASH]).join(seen, ROW_HASH, "left_anti").select(
+        *batch.columns
+    )
+
 
 def _bucketed(rows: DataFrame, buckets: int, mode: str) -> DataFrameWriter:
     return (
@@ -36,9 +64,11 @@ def create_store(
 def upsert_store(report: DataFrame, table: str, buckets: int) -> LoadResult:
     """Insert the rows of a report whose hash the store does not hold yet.
 
-    ``buckets`` is the count that the store was created with. Each task of the
+    ``buckets`` is the count that the store was created with; a missing store is created. Each task of the
     write holds one bucket, so a load adds at most one file per bucket.
     """
+    if not report.sparkSession.catalog.tableExists(table):
+        create_store(report.sparkSession, table, buckets)
     stored = report.sparkSession.table(table)
     fresh = new_rows(report.select(*STORED_SCHEMA.fieldNames()), stored)
     seen = Observation()

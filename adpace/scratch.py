@@ -68,6 +68,12 @@ def replaced(df: DataFrame, path: str) -> None:
         files.delete(jvm_path(fresh), True)
 
 
+def discarded(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table of one's own that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _rename(files, source, target) -> None:
     if not files.rename(source, target):
         raise OSError(f"could not rename {source} to {target}")

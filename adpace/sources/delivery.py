@@ -114,10 +114,11 @@ def conform_delivery(text: DataFrame) -> DataFrame:
 
 
 def latest_report(
-    spark: SparkSession, directory: str, pattern: str = S.REPORT_GLOB
+    spark: SparkSession, directory: str, pattern: str = S.REPORT_GLOB, whole_folder: bool = False
 ) -> str | None:
     """Path of the most recently modified export in a directory, if there is one.
 
+    ``whole_folder`` gives the folder of the newest file, for exports in several parts.
     File contents are not read: only path and modification time are selected.
     """
     try:
@@ -132,4 +133,5 @@ def latest_report(
             return None
         raise
     order = F.struct("modificationTime", "path")
-    return files.agg(F.max_by("path", order)).first()[0]
+    newest = files.agg(F.max_by("path", order)).first()[0]
+    return newest.rsplit("/", 1)[0] if whole_folder and newest else newest

@@ -15,13 +15,15 @@ from adpace.sources.delivery import (
 )
 
 
-def read_goals(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_goals(
+    spark: SparkSession, path: str, strict: bool = True, multi_line: bool = False
+) -> DataFrame:
     """Contracted goals, truncated to whole impressions.
 
     A goal that is not a number fails. A missing goal fails too if ``strict``,
     which is how goals are loaded; otherwise it stays null.
     """
-    rows = read_text_csv(spark, path, S.GOAL_COLUMNS, "goal seed")
+    rows = read_text_csv(spark, path, S.GOAL_COLUMNS, "goal seed", multi_line)
     return typed_goals(rows, strict)
 
 
@@ -35,14 +37,16 @@ def typed_goals(rows: DataFrame, strict: bool = True) -> DataFrame:
     return rows.select("order_name", "advertiser_name", number.alias("impression_goal"))
 
 
-def read_domain_clubs(spark: SparkSession, path: str) -> DataFrame:
+def read_domain_clubs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """The domain-to-club map."""
-    return read_text_csv(spark, path, S.DOMAIN_CLUB_COLUMNS, "domain-club seed")
+    return read_text_csv(spark, path, S.DOMAIN_CLUB_COLUMNS, "domain-club seed", multi_line)
 
 
-def read_domain_delivery(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_domain_delivery(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
     """Domain delivery; the export's own header for the domain is renamed."""
-    rows = lower_headers(spark.read.options(**csv_options()).csv(path))
+    rows = lower_headers(spark.read.options(**csv_options(multi_line)).csv(path))
     rows = rows.withColumnRenamed(S.DOMAIN_EXPORT_HEADER, "domain_name")
     names = [n for n, _ in S.DOMAIN_DELIVERY_FIELDS]
     S.require_columns(rows.columns, names, "domain delivery")

@@ -159,6 +159,13 @@ class Tables:
         order = F.struct("club_total", "club_display_name")
         return totals.agg(F.max_by("club_display_name", order)).scalar()
 
+    def new_store(self) -> str:
+        """An empty report store of its own."""
+        path = work_dir(self.spark, "store")
+        table = f"report_store_{path.rsplit('-', 1)[1]}"
+        create_store(self.spark, table, STORE_BUCKETS, path=path)
+        return table
+
     def write_report(self, directory: str, rows: DataFrame | None = None) -> str:
         """Export report rows as CSV, with upper-case headers and an extra column."""
         text = (rows if rows is not None else self.raw).select(
@@ -190,6 +197,8 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
+STORE_BUCKETS = 8
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
@@ -245,12 +254,12 @@ def load_append(t: Tables) -> DataFrame:
 
 @_query
 def load_upsert(t: Tables) -> DataFrame:
-    target = work_dir(t.spark, "stored")
+    target = t.new_store()
     finished = t.raw.filter(F.col("order_delivery_status_name") == "Completed")
     first = t.write_report(work_dir(t.spark, "export"), finished)
     for path in (first, t.write_report(work_dir(t.spark, "export"))):
-        load_report(t.spark, path, target, mode="upsert")
-    return _keys(read_mart(t.spark, target, ""))
+        load_report(t.spark, path, target, mode="upsert", buckets=STORE_BUCKETS)
+    return _keys(t.spark.table(target))
 
 
 @_query
@@ -262,13 +271,13 @@ def upsert_new_rows(t: Tables) -> DataFrame:
 
 @_query
 def streaming_upsert(t: Tables) -> DataFrame:
-    drops, target = work_dir(t.spark, "drops"), work_dir(t.spark, "stored")
+    drops, target = work_dir(t.spark, "drops"), t.new_store()
     finished = t.raw.filter(F.col("order_delivery_status_name") == "Completed")
     for rows in (finished, t.raw):
         t.write_report(drops, rows)
     rows = report_stream(t.spark, drops, pattern="*.csv")
-    upsert_stream(rows, target, work_dir(t.spark, "stream")).awaitTermination()
-    return _keys(t.spark.read.schema(STORED_SCHEMA).parquet(target))
+    upsert_stream(rows, target, work_dir(t.spark, "stream"), STORE_BUCKETS).awaitTermination()
+    return _keys(t.spark.table(target))
 
 
 @_query
@@ -276,8 +285,8 @@ def latest_report_rows(t: Tables) -> DataFrame:
     directory = work_dir(t.spark, "exports")
     finished = t.raw.filter(F.col("order_delivery_status_name") == "Completed")
     for name, rows in (("gam_report_a.csv", finished), ("gam_report_b.csv", t.raw)):
-        t.write_report(f"{directory}/{name}", rows.coalesce(1))
-    newest = latest_report(t.spark, f"{directory}/*", pattern="*.csv")
+        t.write_report(f"{directory}/{name}", rows)
+    newest = latest_report(t.spark, f"{directory}/*", pattern="*.csv", whole_folder=True)
     report = read_delivery_report(t.spark, newest)
     return report.groupBy("order_delivery_status_name").agg(
         F.count(F.lit(1)).alias("report_rows")
@@ -516,12 +525,7 @@ def filter_orders_by_all(t: Tables) -> DataFrame:
 
 @_query
 def date_preset_range(t: Tables) -> DataFrame:
-    presets = ["past_7", "past_30", "year_to_date", "all"]
-    parts = [
-        O.date_preset_range(t.pacing, p, retail.AS_OF).withColumn("preset", F.lit(p))
-        for p in presets
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return O.date_preset_ranges(t.pacing, retail.AS_OF)
 
 
 @_query
@@ -724,13 +728,11 @@ def failing_checks(t: Tables) -> DataFrame:
 @_query
 def store_upsert(t: Tables) -> DataFrame:
     """The upsert into a table bucketed by row hash."""
-    path = work_dir(t.spark, "store")
-    table = f"report_store_{path.rsplit('-', 1)[1]}"
-    create_store(t.spark, table, buckets=8, path=path)
+    table = t.new_store()
     report = with_row_hash(t.raw)
     finished = report.filter(F.col("order_delivery_status_name") == "Completed")
     for rows in (finished, report):
-        upsert_store(rows, table, buckets=8)
+        upsert_store(rows, table, STORE_BUCKETS)
     return _keys(t.spark.table(table))
 
 

@@ -19,12 +19,12 @@ from tests import fixtures as X
 # One export row and the MD5 of its fields joined by "|".
 HEADER = ",".join(c.upper() for c in S.DELIVERY_COLUMNS)
 LINE = (
-    "1001,Sports league: Season Opener,2025-01-01,2025-01-01 00:00:00,2025-01-15,2025-01-15 23:59:59,"
-    "20001,Homepage Takeover - Team Rabbit,2025-01-01,2025-01-01 00:00:00,2025-01-10,2025-01-10 23:59:59,"
-    "500000,IMPRESSIONS,125000,1500,2500,225000,0.45,Hero Banner - EN,970x250,Desktop,8,STANDARD,"
-    "DELIVERING,Sports league,125000,1500,0.012"
+    "4711,Harbour Lights: Autumn Fair,2024-09-02,2024-09-02 06:30:00,2024-10-06,2024-10-06 22:15:00,"
+    "81355,Sidebar tall - Club Heron,2024-09-03,2024-09-03 07:00:00,2024-09-28,2024-09-28 21:45:00,"
+    "640000,IMPRESSIONS,211300,1904,3120,388250,0.73,Fair skyscraper 2,160x600,Tablet,6,PRICE_PRIORITY,"
+    "DELIVERING,Harbour Lights,97450,811,0.0083"
 )
-LINE_HASH = "4a8120849b9b28848f50dfb64993e6a6"
+LINE_HASH = "e6e778b13c29bfb5aed4f69100b5b62b"
 
 
 def fields(**changes):
@@ -41,10 +41,10 @@ def write(path, *lines):
 def test_export_row(spark, tmp_path):
     row = D.read_delivery_report(spark, write(tmp_path / "r.csv", HEADER, LINE)).first()
     assert row.row_hash == LINE_HASH
-    assert row.order_start_date == dt.date(2025, 1, 1)
-    assert row.order_end_date_time == dt.datetime(2025, 1, 15, 23, 59, 59)
-    assert str(row.ad_server_ctr) == "0.0120"
-    assert (row.line_item_priority, row.ad_server_impressions) == (8, 125000)
+    assert row.order_start_date == dt.date(2024, 9, 2)
+    assert row.order_end_date_time == dt.datetime(2024, 10, 6, 22, 15)
+    assert str(row.ad_server_ctr) == "0.0083"
+    assert (row.line_item_priority, row.ad_server_impressions) == (6, 97450)
 
 
 def test_report_schema(spark, tmp_path):
@@ -64,9 +64,9 @@ def test_columns_may_be_reordered_and_extra(spark, tmp_path):
 
 def test_zeros_around_numbers_do_not_change_the_hash(spark, tmp_path):
     other = fields(
-        order_id="001001", line_item_delivery_indicator="0.4500", ad_server_ctr="+0.012", ad_server_clicks="1500.0"
+        order_id="004711", line_item_delivery_indicator="0.7300", ad_server_ctr="+0.00830", ad_server_clicks="811.0"
     )
-    path = write(tmp_path / "r.csv", HEADER, LINE, other, fields(ad_server_clicks="15000"), fields(ad_server_ctr="0.0"))
+    path = write(tmp_path / "r.csv", HEADER, LINE, other, fields(ad_server_clicks="8110"), fields(ad_server_ctr="0.0"))
     rows = [r.row_hash for r in D.read_delivery_report(spark, path).collect()]
     assert rows[:2] == [LINE_HASH] * 2 and len(set(rows)) == 3
     target = str(tmp_path / "stored")
@@ -201,10 +201,25 @@ def test_stream_loads_overlapping_drops_once(spark, tmp_path):
         rows = report_stream(spark, str(drops), max_files=1)
         upsert_stream(rows, target, checkpoint).awaitTermination()
     got = stored(spark, target)
-    assert sorted(r.ad_server_clicks for r in got.collect()) == [1500, 1501]
+    assert sorted(r.ad_server_clicks for r in got.collect()) == [811, 1501]
     assert LINE_HASH in {r.row_hash for r in got.collect()}
 
 
+def test_a_stream_starts_on_an_empty_folder_and_fills_a_store(spark, tmp_path):
+    drops, checkpoint = tmp_path / "drops", work_dir(spark, "stream")
+    drops.mkdir()
+    for clicks in ("811", "812"):
+        rows = report_stream(spark, str(drops), multi_line=True)
+        upsert_stream(rows, "streamed_store", checkpoint, buckets=4).awaitTermination()
+        write(drops / f"gam_report_{clicks}.csv", HEADER, fields(order_name='"A\nb"', ad_server_clicks=clicks))
+    rows = report_stream(spark, str(drops), multi_line=True)
+    upsert_stream(rows, "streamed_store", checkpoint, buckets=4).awaitTermination()
+    got = spark.table("streamed_store").collect()
+    assert sorted(r.ad_server_clicks for r in got) == [811, 812] and {r.order_name for r in got} == {"A\nb"}
+    with pytest.raises(ValueError, match="only upserts"):
+        L.load_rows(rows, "streamed_store", "append", buckets=4)
+
+
 def test_goal_seed(spark, tmp_path):
     path = write(
         tmp_path / "g.csv", " ORDER_NAME,Advertiser_Name ,IMPRESSION_GOAL,note", "A,X,100.9,n", "B,Y,1e3,n"
