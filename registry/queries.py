@@ -16,7 +16,6 @@ from adpace.operators import facts, marts, rollups
 from adpace.operators import orders as O
 from adpace.operators import sizes as Z
 from adpace.operators.loading import (
-    STORED_SCHEMA,
     apply_goal_edits,
     load_goals,
     load_report,
