@@ -140,7 +140,10 @@ def club_drilldown(
     urgent_only: bool = False,
     club: str | Column | None = None,
 ) -> DataFrame:
-    """Portfolio rows of an advertiser and club, optionally of urgent clubs only."""
+    """Portfolio rows of an advertiser and club, optionally of urgent clubs only.
+
+    If no club is urgent, ``urgent_only`` leaves no rows.
+    """
     rows = filter_advertiser(portfolio, advertiser)
     if urgent_only:
         urgent = rows.filter(F.col("is_urgent_order") & F.col("club_name").isNotNull())
