@@ -14,6 +14,10 @@
    overlap with the probe, and a node from which the remaining lengths cannot reach the
    threshold prunes all sets below it. For one probe the sorted sets are walked depth first.
 
+Components need a spanning forest of links only. ``jaccard_links`` gives every link between
+different sets, and ``jaccard_link_counts`` their number: there every pair of each prefix
+shingle's group that can link is tried, none left out because its sets are joined already.
+
 Defined results: a document without words, null text included, has no shingles, links
 with nothing and is its own component. Rows with equal doc_id and text are one node. The
 component of a document with null doc_id is the smallest id it reaches, or null. Columns
@@ -23,8 +27,9 @@ other than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,8 @@ GROUP = 512
 #: Groups of more sets are tried in blocks of about ``BLOCK`` sets, not pair by pair.
 LARGE = 48
 BLOCK = 256
+#: Rows of a batch that a task returns.
+ROWS = 8192
 _BUCKET = 32_768
 
 
@@ -245,13 +252,17 @@ class Trie:
             above = node
 
     def linked_with(self, probe: np.ndarray, percent: int) -> list[bytes]:
-        """The sets that link with the probe. All sets below a node share its overlap; a node whose
-        remaining length cannot reach the threshold prunes them all."""
+        """The sets that link with the probe."""
+        return [name for name, _ in self.overlaps_with(probe, percent)]
+
+    def overlaps_with(self, probe: np.ndarray, percent: int) -> list[tuple[bytes, int]]:
+        """``id, overlap`` of the sets that link with the probe. All sets below a node share its overlap;
+        a node whose remaining length cannot reach the threshold prunes them all."""
         known = np.zeros(len(self.shingles), dtype=bool)
         at = np.searchsorted(self.shingles, probe)
         at[at == len(self.shingles)] = 0
         known[at[self.shingles[at] == probe]] = True
-        out: list[bytes] = []
+        out: list[tuple[bytes, int]] = []
         overlap, alive = np.zeros(1, dtype=np.int64), np.ones(1, dtype=bool)
         for d, (shingle, above, low, high, ends_at, ends) in enumerate(self.levels):
             overlap = overlap[above] + known[shingle]
@@ -262,7 +273,7 @@ class Trie:
                 break
             for node, row in zip(ends_at.tolist(), ends.tolist()):
                 if overlap[node] >= least_overlap(len(probe), d + 1, percent):
-                    out.append(self.names[row])
+                    out.append((self.names[row], int(overlap[node])))
         return out
 
 
@@ -285,25 +296,25 @@ def spanning(links: Iterator[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
     return kept
 
 
-def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links between the probes and the members of each task, given as ``task, member, sig``.
+def task_links(probes: list, members: list, percent: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """``a, b, overlap``: the links of a task's probes with its members. A link of two sets that
+    are both on both sides comes twice."""
+    if len(probes) > 1 and members:
+        trie = Trie([sig for sig, _ in members], [path for _, path in members])
+        for a, probe in probes:
+            yield from ((a, b, n) for b, n in trie.overlaps_with(probe, percent) if a != b)
+    else:
+        for a, probe in probes:
+            yield from ((a, b, n) for b, n in overlaps(probe, iter(members), percent) if a != b)
 
-    Of a task's links a spanning forest is returned, so a task of like sets gives a row for each
-    set, not for each pair.
-    """
+
+def _tried(tasks: DataFrame, sets: DataFrame, output, schema: str) -> DataFrame:
+    """What ``output(probes, members)`` gives for each task of ``task, member, sig``: rows of ``schema``."""
     paths = tasks.join(sets.select("sig", "path"), "sig").select("task", "member", "sig", "path")
     # A task's probes come first, then its members in global order.
     dealt = paths.repartition("task").sortWithinPartitions("task", "member", "path", "sig")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-    def links(probes: list, members: list) -> Iterator[tuple[bytes, bytes]]:
-        if len(probes) > 1 and members:
-            trie = Trie([sig for sig, _ in members], [path for _, path in members])
-            for a, probe in probes:
-                yield from ((a, b) for b in trie.linked_with(probe, percent) if a != b)
-        else:
-            for a, probe in probes:
-                yield from ((a, b) for b, _ in overlaps(probe, iter(members), percent) if a != b)
+    names = [field.split()[0] for field in schema.split(", ")]
+    types = [pa.binary() if field.endswith("binary") else pa.int64() for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
@@ -311,11 +322,50 @@ def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             sides: tuple[list, list] = ([], [])
             for _, member, sig, path in group:
                 sides[member].append((sig, np.frombuffer(path, dtype=">u8").astype(np.uint64)))
-            found = spanning(links(*sides))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], schema=schema)
+            found = iter(output(*sides))
+            while part := list(islice(found, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
+
+    return dealt.mapInArrow(run, schema)
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+
+def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between the probes and the members of each task, given as ``task, member, sig``.
+
+    Of a task's links a spanning forest is returned, so a task of like sets gives a row for each
+    set, not for each pair.
+    """
+
+    def output(probes: list, members: list) -> list[tuple[bytes, bytes]]:
+        return spanning((a, b) for a, b, _ in task_links(probes, members, percent))
+
+    return _tried(tasks, sets, output, "a binary, b binary")
+
+
+def links_once(probes: list, members: list, percent: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """``a, b, overlap`` with ``a < b``: every link of a task, once."""
+    names = {sig for sig, _ in probes}
+    for a, b, n in task_links(probes, members, percent):
+        if a < b or b not in names:
+            yield min(a, b), max(a, b), n
+
+
+def every_link(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, overlap``: every link of each task, one row for each pair."""
+    return _tried(tasks, sets, lambda probes, members: links_once(probes, members, percent), "a binary, b binary, overlap bigint")
+
+
+def link_sums(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``sig, n``: the number of links of each set in each task; no row for each pair."""
+
+    def output(probes: list, members: list) -> list[tuple[bytes, int]]:
+        counts: Counter = Counter()
+        for a, b, _ in links_once(probes, members, percent):
+            counts[a] += 1
+            counts[b] += 1
+        return list(counts.items())
+
+    return _tried(tasks, sets, output, "sig binary, n bigint")
 
 
 def _task(*columns: str):
@@ -332,8 +382,8 @@ def pair_tasks(pairs: DataFrame) -> DataFrame:
     return probes.unionByName(members)
 
 
-def block_tasks(entries: DataFrame, root: str) -> DataFrame:
-    """``task, member, sig`` that try all sets of large groups against each other, each pair of blocks once.
+def met_blocks(entries: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """``sig, block`` and ``x, y, task``: the block of each set of large groups, and the blocks that meet, ``x <= y``.
 
     ``entries``: ``shingle, sig, size``. A set belongs to the largest group it is in, and there
     to one of its blocks; two blocks meet if any group holds sets of both.
@@ -348,7 +398,12 @@ def block_tasks(entries: DataFrame, root: str) -> DataFrame:
         .join(present.select("shingle", F.col("block").alias("y")), "shingle")
         .filter("x <= y").select("x", "y").distinct()
     )
-    met = written(met.select("x", "y", F.xxhash64("x.home", "x.part", "y.home", "y.part").alias("task")), f"{root}/met")
+    met = met.select("x", "y", F.xxhash64("x.home", "x.part", "y.home", "y.part").alias("task"))
+    return placed, written(met, f"{root}/met")
+
+
+def block_tasks(placed: DataFrame, met: DataFrame) -> DataFrame:
+    """``task, member, sig`` that try all sets of large groups against each other, each pair of blocks once."""
     side = lambda name, member: met.select("task", F.col(name).alias("block")).join(placed, "block").select(
         F.to_binary(F.hex("task"), F.lit("hex")).alias("task"), F.lit(member).alias("member"), "sig"
     )
@@ -382,6 +437,18 @@ def _sizes_fit(x: str, y: str, percent: int):
     return 100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y))
 
 
+def possible_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the pairs of ``shingle, x, x_n, y, y_n`` that share enough prefix shingles to link."""
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    common = met.groupBy(a.alias("a"), b.alias("b")).agg(
+        F.count_distinct("shingle").alias("common"), F.max("x_n").alias("x_n"), F.max("y_n").alias("y_n")
+    )
+    # Beyond the shorter prefix at most the rest of that set can match.
+    rest = lambda n: F.floor(F.lit(percent) * F.col(n) / 100 + F.lit(0.999)) - 1  # noqa: E731  n - prefix_length(n)
+    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent) - F.lit(1e-6))
+    return common.filter(F.col("common") + F.greatest(rest("x_n"), rest("y_n")) + 1 >= need).select("a", "b")
+
+
 def set_components(sets: DataFrame, percent: int, root: str) -> DataFrame:
     """``sig, label`` of all sets that link with a different one; ``sets``: ``sig, n, prefix, path``."""
     entries = written(sets.select("sig", "n", F.explode("prefix").alias("shingle")), f"{root}/entries")
@@ -408,7 +475,7 @@ def set_components(sets: DataFrame, percent: int, root: str) -> DataFrame:
     mixed_groups = largest.filter("labels > 1").select("shingle", "size", F.col("top.label").alias("top"))
     apart = written(marked.join(written(mixed_groups, f"{root}/mixed"), "shingle"), f"{root}/apart")
     large = apart.filter(F.col("size") > LARGE).select("shingle", "sig", "size")
-    large_links = written(linked(block_tasks(large, root), sets, percent), f"{root}/large-links")
+    large_links = written(linked(block_tasks(*met_blocks(large, root)), sets, percent), f"{root}/large-links")
     apart = apart.filter(F.col("size") <= LARGE)
     few = apart.filter("label <> top").select(
         "shingle", F.col("sig").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label")
@@ -419,27 +486,46 @@ def set_components(sets: DataFrame, percent: int, root: str) -> DataFrame:
     met = few.join(other, "shingle").filter(
         (F.col("x_label") != F.col("y_label")) & (F.col("y_top") | (F.col("x") < F.col("y"))) & _sizes_fit("x_n", "y_n", percent)
     )
-    a, b = F.least("x", "y"), F.greatest("x", "y")
-    common = met.groupBy(a.alias("a"), b.alias("b")).agg(
-        F.count_distinct("shingle").alias("common"), F.max("x_n").alias("x_n"), F.max("y_n").alias("y_n")
-    )
-    # Beyond the shorter prefix at most the rest of that set can match.
-    rest = lambda n: F.floor(F.lit(percent) * F.col(n) / 100 + F.lit(0.999)) - 1  # noqa: E731  n - prefix_length(n)
-    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent) - F.lit(1e-6))
-    pairs = common.filter(F.col("common") + F.greatest(rest("x_n"), rest("y_n")) + 1 >= need).select("a", "b")
+    pairs = possible_pairs(met, percent)
     small_links = linked(pair_tasks(written(pairs, f"{root}/more-pairs")), sets, percent)
     links = written(first_links.union(large_links).union(small_links), f"{root}/links")
     return components(links, f"{root}/all")
 
 
+def link_tasks(sets: DataFrame, percent: int, root: str) -> list[DataFrame]:
+    """Tasks that try every pair of different sets that can link, each pair in one task only."""
+    entries = written(sets.select("sig", "n", F.explode("prefix").alias("shingle")), f"{root}/entries")
+    sizes = entries.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
+    entries = written(entries.join(sizes, "shingle"), f"{root}/sized")
+    placed, blocks = met_blocks(entries.filter(F.col("size") > LARGE).select("shingle", "sig", "size"), root)
+    few = entries.filter(F.col("size") <= LARGE)
+    met = (
+        few.select("shingle", F.col("sig").alias("x"), F.col("n").alias("x_n"))
+        .join(few.select("shingle", F.col("sig").alias("y"), F.col("n").alias("y_n")), "shingle")
+        .filter((F.col("x") < F.col("y")) & _sizes_fit("x_n", "y_n", percent))
+    )
+    pairs = possible_pairs(met, percent)
+    # Pairs of blocks that meet are tried there.
+    for side in ("a", "b"):
+        pairs = pairs.join(placed.select(F.col("sig").alias(side), F.col("block").alias(f"{side}_block")), side, "left")
+    swapped = F.col("a_block") > F.col("b_block")
+    x, y = F.when(swapped, F.col("b_block")).otherwise(F.col("a_block")), F.when(swapped, F.col("a_block")).otherwise(F.col("b_block"))
+    pairs = pairs.select("a", "b", x.alias("x"), y.alias("y")).join(blocks.select("x", "y"), ["x", "y"], "left_anti").select("a", "b")
+    return [block_tasks(placed, blocks), pair_tasks(written(pairs, f"{root}/pairs"))]
+
+
+def indexed_sets(docs: DataFrame, width: int, percent: int, root: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, sig`` of all documents, and ``sig, n, prefix, path`` of the different sets that can link."""
+    tables = bit_tables(docs, width, percent)
+    rows = written(indexed(docs, width, percent, tables), f"{root}/indexed")
+    sets = rows.filter("path IS NOT NULL").select("sig", "n", "prefix", "path").dropDuplicates(["sig"])
+    return rows, written(sets, f"{root}/sets")
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document."""
     root = work_dir(docs.sparkSession, "jaccard-join")
-    tables = bit_tables(docs, width, percent)
-    rows = written(indexed(docs, width, percent, tables), f"{root}/indexed")
-    sets = written(
-        rows.filter("path IS NOT NULL").select("sig", "n", "prefix", "path").dropDuplicates(["sig"]), f"{root}/sets"
-    )
+    rows, sets = indexed_sets(docs, width, percent, root)
     labels = set_components(sets, percent, root)
     members = rows.select("doc_id", "n", "sig").join(labels, "sig", "left").select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("label", "sig").alias("label")
@@ -453,6 +539,33 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     )
 
 
+def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """``a, b, overlap`` and ``doc_id, n_shingles, class``: every link between different sets, ``a < b``,
+    each once, and the class of each document.
+
+    A class is named by the signature of its set, so copies are not written out; it is null
+    for documents without words.
+    """
+    root = work_dir(docs.sparkSession, "jaccard-links")
+    rows, sets = indexed_sets(docs, width, percent, root)
+    blocks, pairs = (every_link(tasks, sets, percent) for tasks in link_tasks(sets, percent, root))
+    members = rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.col("sig").alias("class"))
+    return written(blocks.unionByName(pairs), f"{root}/links"), members
+
+
+def jaccard_link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, class, n_links`` per document: its class, in hexadecimal, and the number of
+    other classes that link with it. Links are summed in their tasks."""
+    root = work_dir(docs.sparkSession, "jaccard-link-counts")
+    rows, sets = indexed_sets(docs, width, percent, root)
+    blocks, pairs = (link_sums(tasks, sets, percent) for tasks in link_tasks(sets, percent, root))
+    sums = written(blocks.unionByName(pairs).groupBy("sig").agg(F.sum("n").alias("n_links")), f"{root}/sums")
+    return rows.join(sums, "sig", "left").select(
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.lower(F.hex("sig")).alias("class"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+    )
+
+
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The documents, every column, one of each component: that of the smallest doc_id.
 
@@ -478,7 +591,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-#: The same rows in DuckDB.
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_link_counts(table(spark, sf_dir, "documents"))
+
+
+#: The rows of op9_jaccard_join in DuckDB.
 ORACLE_SQL = r"""
 WITH RECURSIVE word AS (
   SELECT doc_id, regexp_extract_all(

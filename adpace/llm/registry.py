@@ -10,7 +10,7 @@ import corpus_pipeline
 from adpace.llm import block_search, jaccard_join, line_dedup
 from adpace.llm.block_search import op6_block_search
 from adpace.llm.chat_format import op1_chat_format
-from adpace.llm.jaccard_join import op9_jaccard_join
+from adpace.llm.jaccard_join import op9_jaccard_join, op9_jaccard_links
 from adpace.llm.language_id import op10_language_id
 from adpace.llm.line_dedup import op3_line_dedup
 from adpace.llm.packing import op5_packing
@@ -21,7 +21,8 @@ from adpace.llm.secret_scans import op4_secret_scans
 
 QUERIES = (
     op1_chat_format, op2_quality_rules, op3_line_dedup, op4_secret_scans, op5_packing,
-    op6_block_search, op7_sentencepiece_codec, op8_pii_context, op9_jaccard_join, op10_language_id,
+    op6_block_search, op7_sentencepiece_codec, op8_pii_context, op9_jaccard_join, op9_jaccard_links,
+    op10_language_id,
 )
 
 

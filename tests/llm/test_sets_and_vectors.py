@@ -63,6 +63,30 @@ def test_components(spark, monkeypatch, width, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("large", [48, 4, 1 << 30])
+def test_every_link_once(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    rows = texts() + near_copies() + [(900, near_copies()[0][1])]
+    docs = documents(spark, rows)
+    sets = {frozenset(shingles(t, 4)) for _, t in rows} - {frozenset()}
+    want = Counter()
+    overlap = Counter()
+    for x in sets:
+        for y in sets:
+            if x != y and 100 * len(x & y) >= 85 * len(x | y):
+                want[x] += 1
+                overlap[len(x & y)] += 1
+    assert max(want.values()) > 2
+    links, members = jaccard_join.jaccard_links(docs)
+    found = links.collect()
+    assert len({(r.a, r.b) for r in found}) == len(found) == sum(want.values()) // 2
+    assert Counter(r.overlap for r in found) == Counter({k: v // 2 for k, v in overlap.items()})
+    counts = jaccard_join.jaccard_link_counts(docs).collect()
+    assert Counter((r.doc_id, r.n_links) for r in counts) == Counter((i, want[frozenset(shingles(t, 4))]) for i, t in rows)
+    assert Counter((r.doc_id, r["class"] and r["class"].hex()) for r in members.collect()) == Counter((r.doc_id, r["class"]) for r in counts)
+
+
 def test_one_of_each_component_stays(spark):
     docs = documents(spark, texts())
     out = jaccard_join.keep_one(docs, 5, 80)
