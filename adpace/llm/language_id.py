@@ -7,7 +7,8 @@ A language's popcount over a text, less the hits that its filter's fill predicts
 absent n-grams, is its evidence; the largest wins.
 
 The model is fitted on a bounded sample: at most ``DOCS_PER_LANGUAGE`` documents of each
-language, by hash of doc_id. At most 32 languages are told apart.
+language, by hash of doc_id. A mask has one word for each
+32 languages, so any number of languages is told apart.
 
 Defined results: ``und`` with score 0 if text is null or has no letter, or nothing was
 learned. Ties go to the first language by name. Held-out documents are never learned
@@ -34,7 +35,8 @@ GRAMS_PER_LANGUAGE = 6000
 SLICES = 64
 #: A language contains an n-gram if its share there is at least this part of the highest share anywhere.
 MIN_OF_HIGHEST = 0.4
-MAX_LANGUAGES = 32
+#: Languages in a word of a mask.
+WORD = 32
 SLOTS = 1 << 17
 HASHES = 3
 #: Code points that are looked up at a time.
@@ -72,9 +74,15 @@ def slots(keys: np.ndarray) -> list[np.ndarray]:
     return [((keys >> np.uint64(20 * i)) & bits).astype(np.int64) for i in range(HASHES)]
 
 
+def bit(language: int) -> np.uint32:
+    """The bit of a language in its word."""
+    return np.uint32(1 << language % WORD)
+
+
 @dataclass
 class Model:
     languages: list[str]
+    #: One row for each word, one column for each slot.
     masks: np.ndarray
     #: The share of absent n-grams that each filter claims to hold.
     false_share: np.ndarray
@@ -82,10 +90,11 @@ class Model:
     own_share: np.ndarray
 
     def languages_of(self, keys: np.ndarray) -> np.ndarray:
-        """The mask of all languages that contain each n-gram."""
-        out = np.full(len(keys), 0xFFFFFFFF, dtype=np.uint32)
+        """The mask of all languages that contain each n-gram, one row for each word."""
+        out = np.full((len(self.masks), len(keys)), 0xFFFFFFFF, dtype=np.uint32)
         for at in slots(keys):
-            out &= self.masks[at]
+            for word, mask in zip(out, self.masks):
+                word &= mask[at]
         return out
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
@@ -94,8 +103,8 @@ class Model:
         overlap = max(ORDERS) - 1
         for at in range(0, max(1, len(text) - overlap), CHUNK):
             mask = self.languages_of(grams(text[at : at + CHUNK + overlap]))
-            seen += len(mask)
-            total += [np.count_nonzero(mask & np.uint32(1 << i)) for i in range(len(self.languages))]
+            seen += mask.shape[1]
+            total += [np.count_nonzero(mask[i // WORD] & bit(i)) for i in range(len(self.languages))]
         return total, seen
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -152,22 +161,22 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     common = Window.partitionBy("lang").orderBy(F.desc("seen"), "gram")
     top = totals.withColumn("at", F.row_number().over(common)).filter(F.col("at") <= GRAMS_PER_LANGUAGE)
     sums = {r["lang"]: r["n"] for r in totals.groupBy("lang").agg(F.sum("seen").alias("n")).collect()}
-    languages = sorted(sums)[:MAX_LANGUAGES]
+    languages = sorted(sums)
     share_of: dict[str, dict[int, float]] = {x: {} for x in languages}
-    for r in top.filter(F.col("lang").isin(languages)).select("lang", "gram", "seen").collect():
+    for r in top.select("lang", "gram", "seen").collect():
         share_of[r["lang"]][r["gram"]] = r["seen"] / sums[r["lang"]]
     highest: dict[int, float] = {}
     for shares in share_of.values():
         for gram, share in shares.items():
             highest[gram] = max(share, highest.get(gram, 0.0))
-    masks = np.zeros(SLOTS, dtype=np.uint32)
+    masks = np.zeros((-(-len(languages) // WORD), SLOTS), dtype=np.uint32)
     own = np.zeros(len(languages))
     for i, lang in enumerate(languages):
         typical = [g for g, share in share_of[lang].items() if share >= MIN_OF_HIGHEST * highest[g]]
         own[i] = sum(share_of[lang][g] for g in typical)
         for at in slots(np.array(typical, dtype=np.int64).view(np.uint64)):
-            masks[at] |= np.uint32(1 << i)
-    fill = np.array([np.count_nonzero(masks & np.uint32(1 << i)) / SLOTS for i in range(len(languages))])
+            masks[i // WORD][at] |= bit(i)
+    fill = np.array([np.count_nonzero(masks[i // WORD] & bit(i)) / SLOTS for i in range(len(languages))])
     return Model(languages, masks, fill**HASHES, own)
 
 

@@ -251,3 +251,17 @@ def test_languages_of_held_out_documents(spark):
     assert held and all(got[i].lang_pred == rows[i][2] for i in held)
     empty = language_id.fit(docs.limit(0))
     assert language_id.predict(docs.limit(3), empty).filter("lang_pred <> 'und'").isEmpty()
+
+
+def test_more_languages_than_a_word_holds(spark):
+    letters = "abcdefghijklmnopqrst"
+    rng = random.Random(12)
+    names = [f"l{i:02}" for i in range(70)]
+    stems = {x: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for x in names}
+    rows = [(i, " ".join(rng.choice(stems[x]) for _ in range(30)), x) for i in range(840) for x in [names[i % 70]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == names and model.masks.shape == (3, language_id.SLOTS)
+    held = [r for r in language_id.predict(docs, model).collect() if r.held_out]
+    assert {rows[r.doc_id][2] for r in held} >= {"l00", "l31", "l32", "l63", "l64", "l69"}
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in held)
