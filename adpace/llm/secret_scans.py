@@ -4,7 +4,8 @@ Lines with ``=`` or ``:`` are lexed into name-literal pairs. A name bound to an
 earlier name takes over that name's literal (constant propagation), so a literal
 counts under every name that it reaches. A pair's score is the sensitivity of its
 name times the strength of its literal; literals at the threshold become spans of
-kind ``literal`` unless a base span covers them.
+kind ``literal`` unless a base span covers them. White space weakens a literal, unless
+its name is strong.
 
 Defined results: null text is empty; every row is scanned whole and on its own, so
 repeated rows, null ids and extra columns are no special cases.
@@ -26,6 +27,8 @@ from adpace.llm.common import map_columns, table
 KINDS = ("assign", "access", "hex", "literal")
 MIN_SCORE = 0.6
 MASK = "[SECRET]"
+#: From this name score on, a literal of several words is as strong as one word.
+STRONG_NAME = 0.9
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -66,14 +69,17 @@ def name_score(name: str) -> float:
     return score / 2 if HARMLESS.intersection(parts) else score
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: entropy over the whole literal, with its mix of letters and digits."""
+def literal_score(value: str, name: float) -> float:
+    """0 to 1: entropy over the whole literal, with its mix of letters and digits; ``name``: its name's score.
+
+    The entropy is not capped before the mix is weighed, so long literals of letters alone can be strong.
+    """
     if len(value) < 6 or value.isspace() or len(set(value)) < 4:
         return 0.0
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    score = min(1.0, entropy / 3.0) * (1.0 if mixed else 0.6 if value.isalpha() else 0.8)
-    return score / 2 if " " in value else score
+    score = min(1.0, entropy / 3.0 * (1.0 if mixed else 0.6 if value.isalpha() else 0.8))
+    return score / 2 if " " in value and name < STRONG_NAME else score
 
 
 def name_literals(text: str) -> list[tuple[str, int, int]]:
@@ -117,7 +123,7 @@ def literal_spans(text: str, base: list[tuple[int, int, int]], min_score: float)
         (start, 3, end)
         for (start, end), score in sorted(best.items())
         if score >= min_score
-        and score * literal_score(text[start:end]) >= min_score
+        and score * literal_score(text[start:end], score) >= min_score
         and not any(s <= start and end <= e for s, e in covered)
     ]
 

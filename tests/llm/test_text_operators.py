@@ -154,6 +154,17 @@ def test_constants_reach_sensitive_names():
     assert secret_scans.scan("the token of thanks: a word; pass: no")[1] == []
 
 
+@pytest.mark.parametrize("name", [n for n, weight in secret_scans.SENSITIVE.items() if weight >= 0.7])
+@pytest.mark.parametrize("value", ["tulip canyon 7 orbit 93", "quiet maple lantern harbor", "qWzXkVbNmPlTrGhJsDfYcEuA"])
+def test_passphrases_and_letters_of_each_name(name, value):
+    text = f'colour = "{value}"\n{name} = "{value}"\n'
+    found = [(s, text[s:e]) for s, _, e in secret_scans.scan(text)[1]]
+    if " " in value and secret_scans.SENSITIVE[name] < 0.9:
+        assert found == []
+    else:
+        assert any(value in part and s > len(value) for s, part in found) and all(s > len(value) for s, _ in found)
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = documents(spark)
     out = secret_scans.mask_secrets(docs)
