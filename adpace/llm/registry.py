@@ -15,6 +15,7 @@ from adpace.llm.hard_negatives import op11_hard_negatives
 from adpace.llm.jaccard_join import op9_jaccard_join, op9_jaccard_links
 from adpace.llm.language_id import op10_language_id
 from adpace.llm.line_dedup import op3_line_dedup
+from adpace.llm.lm_scoring import op13_lm_scoring
 from adpace.llm.packing import op5_packing
 from adpace.llm.piece_codec import op7_sentencepiece_codec
 from adpace.llm.pii_context import op8_pii_context
@@ -24,7 +25,7 @@ from adpace.llm.secret_scans import op4_secret_scans
 QUERIES = (
     op1_chat_format, op2_quality_rules, op3_line_dedup, op4_secret_scans, op5_packing,
     op6_block_search, op7_sentencepiece_codec, op8_pii_context, op9_jaccard_join, op9_jaccard_links,
-    op10_language_id, op11_hard_negatives, op12_filter_audit,
+    op10_language_id, op11_hard_negatives, op12_filter_audit, op13_lm_scoring,
 )
 
 
