@@ -287,3 +287,44 @@ def test_coercion(spark):
 def test_work_dir_is_under_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert work_dir(spark, "a").startswith(root) and work_dir(spark, "a") != work_dir(spark, "a")
+
+
+def _scan_metrics(df):
+    """Files and rows of each file scan of an executed query, in plan order."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if "FileSourceScan" in leaf.nodeName() or "Scan parquet" in leaf.nodeName():
+            metrics = leaf.metrics()
+            found.append((metrics.apply("numFiles").value(), metrics.apply("numOutputRows").value()))
+    return found
+
+
+def test_a_small_batch_reads_only_what_can_hold_its_hashes(spark, monkeypatch):
+    from adpace.operators import store
+
+    monkeypatch.setattr(store, "PREFIX_CHARS", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table, buckets, path = "pruned_store", 2, work_dir(spark, "store")
+        create_store(spark, table, buckets, path=path)
+        report = X.report(spark, *[dict(order_id=i) for i in range(400)])
+        assert upsert_store(report, table, buckets).rows == 400
+        stored_table = spark.table(table)
+        whole = _scan_metrics(stored_table.select("row_hash"))[0]
+        batch = X.report(spark, dict(order_id=5), dict(order_id=100_000))
+        pruned = store.pruned_store(batch, stored_table).select("row_hash")
+        files, rows = _scan_metrics(pruned)[0]
+        assert files <= 2 * buckets < whole[0] and rows < whole[1] / 4
+        # Without the hash filter (a large batch), the batch's prefixes still bound the folders.
+        monkeypatch.setattr(store, "PROBE_HASHES", 1)
+        files, _ = _scan_metrics(store.pruned_store(batch, stored_table).select("row_hash"))[0]
+        assert files <= 2 * buckets
+        # The same rows either way, and the load adds the one new row.
+        assert upsert_store(batch, table, buckets).rows == 1
+        assert spark.table(table).count() == 401
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
