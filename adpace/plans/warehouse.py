@@ -25,6 +25,13 @@ ROLLUPS = {
     "line_items": rollups.line_item_rollup,
     "size_rollup": rollups.creative_size_rollup,
 }
+#: The same tables as mergeable rollups, for refreshes after an upsert.
+MERGEABLE = {"orders": rollups.ORDERS, "line_items": rollups.LINE_ITEMS, "size_rollup": rollups.SIZES}
+MERGEABLE_AGGREGATES = {
+    "orders_table": rollups.ORDERS_TABLE,
+    "line_items_table": rollups.LINE_ITEMS_TABLE,
+    "delivery_facts": rollups.DELIVERY_FACTS,
+}
 
 
 @dataclass(frozen=True)
@@ -158,3 +165,48 @@ def refresh_after_goal_edits(
     goals = save_goal_edits(inputs.goals, edits, goals_path)
     edited = Inputs(inputs.delivery, goals, inputs.domains, inputs.clubs)
     return build_all(edited, as_of, root, on_unmapped, staged=staged)
+
+
+def merged_rollups(added: DataFrame, built: str, root: str) -> dict[str, DataFrame]:
+    """The rollups of a build at ``built`` merged with the rollups of ``added`` rows, written under ``root``."""
+    old = stored_rollups(added.sparkSession, built)
+    return all_written(
+        {n: (MERGEABLE[n].merge(old[n], added), f"{root}/rollups/{n}") for n in ROLLUPS}
+    )
+
+
+def refresh_after_upsert(
+    inputs: Inputs,
+    added: DataFrame,
+    built: str,
+    as_of: AsOf,
+    root: str,
+    on_unmapped: str = "error",
+) -> dict[str, DataFrame]:
+    """Every table after an upsert added the report rows ``added`` to the report of ``built``.
+
+    An upsert only inserts, and every rollup is a maximum, minimum or sum: the rollups
+    stored at ``built`` merge with those of the added rows, and the facts are built from
+    the merged rollups under ``root``. Neither the stored report nor ``inputs.delivery``
+    is read; goals, domains and clubs are. Equal to ``build_all`` over all rows.
+    """
+    staged = merged_rollups(added, built, root)
+    return build_all(inputs, as_of, root, on_unmapped, staged=staged)
+
+
+def refresh_aggregate_tables(added: DataFrame, built: str, root: str) -> dict[str, DataFrame]:
+    """The stored order, line-item and delivery tables of ``built`` merged with ``added`` rows.
+
+    Checked as staged, as ``build_aggregate_tables`` does, then published under ``root``.
+    """
+    spark = added.sparkSession
+    stage = work_dir(spark, "aggregates")
+    staged = all_written(
+        {
+            n: (table.merge(spark.read.parquet(f"{built}/{n}"), added), f"{stage}/{n}")
+            for n, table in MERGEABLE_AGGREGATES.items()
+        }
+    )
+    for name, df in staged.items():
+        enforce(df, name, *TABLE_CONSTRAINTS[name])
+    return all_written({n: (df, f"{root}/{n}") for n, df in staged.items()})

@@ -644,7 +644,9 @@ _FINAL: dict[str, str] = {
     "goal_edits": "SELECT * FROM edited_goals",
     "refresh_after_goal_edits": "SELECT * FROM edited_pacing",
     "build_all": "SELECT * FROM portfolio",
+    "refresh_after_upsert": "SELECT * FROM portfolio",
     "build_aggregate_tables": "SELECT * FROM fact_table",
+    "refresh_aggregate_tables": "SELECT * FROM fact_table",
     "order_rollup": "SELECT * FROM order_roll",
     "line_item_rollup": "SELECT * FROM item_roll",
     "creative_size_rollup": "SELECT * FROM size_roll",

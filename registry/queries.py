@@ -360,6 +360,29 @@ def refresh_after_goal_edits(t: Tables) -> DataFrame:
     return tables["order_pacing_summary"]
 
 
+def _upsert_split(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Report rows of a first load, and the rows that a second load adds."""
+    done = F.coalesce(F.col("order_delivery_status_name") == "Completed", F.lit(False))
+    return t.inputs.delivery.filter(done), t.inputs.delivery.filter(~done)
+
+
+@_query
+def refresh_after_upsert(t: Tables) -> DataFrame:
+    root = work_dir(t.spark, "warehouse")
+    first, added = _upsert_split(t)
+    warehouse.store_rollups(first, root)
+    tables = warehouse.refresh_after_upsert(t.inputs, added, root, retail.AS_OF, f"{root}/next")
+    return tables["club_portfolio"]
+
+
+@_query
+def refresh_aggregate_tables(t: Tables) -> DataFrame:
+    root = work_dir(t.spark, "warehouse")
+    first, added = _upsert_split(t)
+    warehouse.build_aggregate_tables(first, root)
+    return warehouse.refresh_aggregate_tables(added, root, f"{root}/next")["delivery_facts"]
+
+
 @_query
 def build_all(t: Tables) -> DataFrame:
     root = work_dir(t.spark, "warehouse")

@@ -1,5 +1,6 @@
 """Rollups, facts and marts on the sample and on edge rows."""
 
+import shutil
 from decimal import Decimal
 
 import pytest
@@ -265,3 +266,26 @@ def test_left_joins_keep_every_row(spark):
     assert all(r[1] == pytest.approx(1.0) for r in shares)
     items = rollups.line_item_rollup(raw)
     assert facts.line_item_diagnostics(domains, items, clubs, known).count() == domains.count()
+
+
+def test_merged_rollups_equal_rollups_of_all_rows_and_read_no_other_rows(spark, tmp_path):
+    from adpace.operators import rollups as R
+
+    rows = X.report(
+        spark,
+        dict(order_id=1), dict(order_id=1, ad_server_impressions=7), dict(order_id=2, rendered_creative_size=" "),
+        dict(order_id=3, ad_server_clicks=None), dict(order_id=4, creative_name=None),
+    )
+    first, added = rows.filter("order_id = 1"), rows.filter("order_id <> 1")
+    first.write.parquet(f"{tmp_path}/first")
+    added.write.parquet(f"{tmp_path}/added")
+    first, added = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("first", "added"))
+    for rollup in (R.ORDERS, R.LINE_ITEMS, R.SIZES, R.ORDERS_TABLE, R.LINE_ITEMS_TABLE, R.DELIVERY_FACTS):
+        rollup.build(first).write.parquet(f"{tmp_path}/stored")
+        stored = spark.read.parquet(f"{tmp_path}/stored")
+        merged = rollup.merge(stored, added)
+        assert sorted(merged.collect()) == sorted(rollup.build(first.unionByName(added)).collect())
+        assert merged.columns == rollup.build(first).columns
+        scanned = {f.split(str(tmp_path))[-1].split("/")[1] for f in merged.inputFiles()}
+        assert scanned == {"stored", "added"}
+        shutil.rmtree(f"{tmp_path}/stored")
