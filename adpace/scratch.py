@@ -68,6 +68,96 @@ def replaced(df: DataFrame, path: str) -> None:
         files.delete(jvm_path(fresh), True)
 
 
+#: Pointer files of a published table: ``_current-<sequence>``, each naming one version folder.
+POINTER = "_current-"
+#: Versions that stay after a switch, the current one included.
+KEEP_VERSIONS = 2
+
+
+def _files(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    return jvm_path, jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """``(sequence, version folder)`` of the complete pointers at ``path``, newest first."""
+    jvm_path, files = _files(spark, path)
+    if not files.exists(jvm_path(path)):
+        return []
+    found = []
+    for status in files.listStatus(jvm_path(path)):
+        name = status.getPath().getName()
+        if not name.startswith(POINTER):
+            continue
+        stream = files.open(status.getPath())
+        try:
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        # A pointer counts once it is whole (it ends in a line break) and its version is complete.
+        version = text[:-1]
+        if text.endswith("\n") and files.exists(jvm_path(f"{path}/{version}/_SUCCESS")):
+            found.append((int(name[len(POINTER):]), version))
+    return sorted(found, reverse=True)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that readers of ``path`` read: its newest published version, or ``path`` itself."""
+    pointers = _pointers(spark, path)
+    return f"{path.rstrip('/')}/{pointers[0][1]}" if pointers else path
+
+
+def published(df: DataFrame, path: str) -> None:
+    """Write a table as a new version of ``path`` and switch readers to it at once.
+
+    Steps: the rows go to a version folder of their own; then one small pointer file,
+    never written before, names it; then versions beyond ``KEEP_VERSIONS`` are removed.
+    Readers (``current``) take the newest whole pointer whose version is complete, so a
+    job that fails at any step leaves them the old table or the new one, whole, and a
+    rerun cleans what a failed one left. Creating a small file is atomic on object stores
+    and a pointer without its closing line break is ignored elsewhere. Two publishers of
+    one table cannot take one sequence number: the second create fails. ``df`` may read
+    ``path`` itself.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    jvm_path, files = _files(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    _write_version(df, f"{path}/{version}")
+    # After every pointer, whole or not: a pointer that a failed job left half written stays unused.
+    taken = [int(x.getPath().getName()[len(POINTER):]) for x in files.listStatus(jvm_path(path))
+             if x.getPath().getName().startswith(POINTER)]
+    sequence = max(taken, default=0) + 1
+    _write_pointer(files, jvm_path(f"{path}/{POINTER}{sequence:012d}"), version)
+    _expire(spark, path)
+
+
+def _write_version(df: DataFrame, folder: str) -> None:
+    df.write.parquet(folder)
+
+
+def _write_pointer(files, place, version: str) -> None:
+    stream = files.create(place, False)
+    try:
+        stream.write(bytearray(f"{version}\n".encode()))
+    finally:
+        stream.close()
+
+
+def _expire(spark: SparkSession, path: str) -> None:
+    """Remove versions and pointers beyond the newest ``KEEP_VERSIONS``, and unnamed versions."""
+    jvm_path, files = _files(spark, path)
+    pointers = _pointers(spark, path)
+    kept = {v for _, v in pointers[:KEEP_VERSIONS]}
+    oldest = pointers[: KEEP_VERSIONS][-1][0] if pointers else 0
+    for status in files.listStatus(jvm_path(path)):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in kept:
+            files.delete(status.getPath(), True)
+        elif name.startswith(POINTER) and int(name[len(POINTER):]) < oldest:
+            files.delete(status.getPath(), False)
+
+
 def discarded(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table of one's own that no later step reads."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

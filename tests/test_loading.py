@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from adpace import schema as S
 from adpace.operators import loading as L
 from adpace.operators.store import create_store, upsert_store
-from adpace.scratch import work_dir
+from adpace.scratch import current, work_dir
 from adpace.sources import delivery as D
 from adpace.sources import seeds
 from adpace.sources.tables import coerce_dates, coerce_numeric
@@ -126,7 +126,7 @@ def test_latest_report(spark, tmp_path):
 
 
 def stored(spark, target):
-    return spark.read.parquet(target)
+    return spark.read.parquet(current(spark, target))
 
 
 def test_replace_append_and_validate(spark):

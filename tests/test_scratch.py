@@ -54,3 +54,46 @@ def test_replace_is_whole_or_not_at_all(spark, tmp_path, monkeypatch):
 
 def test_no_folder_has_no_latest_report(spark, tmp_path):
     assert latest_report(spark, str(tmp_path / "none")) is None
+
+
+def test_a_published_table_is_old_or_new_and_whole_whatever_step_fails(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+
+    def read():
+        return sorted(r.id for r in spark.read.parquet(scratch.current(spark, target)).collect())
+
+    scratch.published(spark.range(3), target)
+    scratch.published(spark.read.parquet(scratch.current(spark, target)).selectExpr("id + 10 AS id"), target)
+    assert read() == [10, 11, 12]
+    # The version fails while it is written.
+    with pytest.raises(Exception):
+        scratch.published(spark.range(3).selectExpr("raise_error('no') AS id"), target)
+    assert read() == [10, 11, 12]
+
+    # The pointer is cut off while it is written.
+    def cut(files, place, version):
+        stream = files.create(place, False)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        raise OSError("lost")
+
+    monkeypatch.setattr(scratch, "_write_pointer", cut)
+    with pytest.raises(OSError, match="lost"):
+        scratch.published(spark.range(5), target)
+    assert read() == [10, 11, 12]
+    monkeypatch.undo()
+
+    # Old versions cannot be removed: the new table is already the one read.
+    def stuck(*args):
+        raise OSError("stuck")
+
+    monkeypatch.setattr(scratch, "_expire", stuck)
+    with pytest.raises(OSError, match="stuck"):
+        scratch.published(spark.range(2), target)
+    assert read() == [0, 1]
+    monkeypatch.undo()
+
+    # The next publication leaves the kept versions only.
+    scratch.published(spark.range(1), target)
+    assert read() == [0]
+    assert len([x for x in os.listdir(target) if x.startswith("v-")]) == scratch.KEEP_VERSIONS
