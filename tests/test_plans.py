@@ -175,3 +175,22 @@ def test_hot_clubs_and_domains_are_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_clustered_facts_let_a_selective_filter_skip_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(4000).selectExpr(
+            "concat('Advertiser ', cast(id % 40 AS string)) AS advertiser_name", "id AS order_id", "id * 2 AS impressions"
+        )
+        path = str(tmp_path / "order_health")
+        warehouse.clustered(rows, "order_health").write.parquet(path)
+        chosen = spark.read.parquet(path).filter(F.col("advertiser_name") == "Advertiser 7")
+        assert chosen.count() == 100
+        chosen.collect()
+        leaves = chosen._jdf.queryExecution().executedPlan().collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size()) if "Scan" in leaves.apply(i).nodeName()]
+        read = scans[0].metrics().apply("numOutputRows").value()
+        assert read <= 4000 / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
