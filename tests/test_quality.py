@@ -110,3 +110,25 @@ def test_aggregate_tables_and_their_constraints(spark):
     twice = orders_table(raw).unionByName(orders_table(raw))
     with pytest.raises(ValueError, match="unique.order_id.: 2"):
         Q.enforce(twice, "orders_table", *checks.TABLE_CONSTRAINTS["orders_table"])
+
+
+def test_every_table_is_scanned_once(spark, tmp_path):
+    from adpace.operators import quality as Q
+
+    spark.range(50).selectExpr("id AS a_id", "id % 7 AS b_ref", "CAST(NULL AS string) AS note").write.parquet(f"{tmp_path}/a")
+    spark.range(5).selectExpr("id AS b_id", "'x' AS kind").write.parquet(f"{tmp_path}/b")
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in "ab"}
+    checks = [
+        Q.Check(Q.NOT_NULL, "a", "note"), Q.Check(Q.UNIQUE, "a", "a_id"), Q.Check(Q.UNIQUE, "a", "b_ref"),
+        Q.Check(Q.RELATIONSHIPS, "a", "b_ref", "b", "b_id"), Q.Check(Q.ACCEPTED_VALUES, "b", "kind", values=("x",)),
+        Q.Check(Q.UNIQUE, "b", "b_id"),
+    ]
+    result = Q.run_checks(tables, checks)
+    got = {(r.check_kind, r.column_name): r.failures for r in result.collect()}
+    assert got == {
+        ("not_null", "note"): 50, ("unique", "a_id"): 0, ("unique", "b_ref"): 7,
+        ("relationships", "b_ref"): 14, ("accepted_values", "kind"): 0, ("unique", "b_id"): 0,
+    }
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    for n in "ab":
+        assert plan.count(f"{tmp_path}/{n}]") == 1
