@@ -14,14 +14,19 @@ weights, runs AdaGrad over mini-batches of its own training tokens in NumPy, and
 change weighted by its number of tokens; Spark sums the changes (``Summarizer`` over chunks of
 the weight vector) and the driver averages them (iterative parameter mixing). The weights
 have a fixed size (``ROWS x CLASSES`` floats) whatever the corpus; what grows with the corpus,
-the token counts, stays in Spark: documents meet counts by a join on the token, and the
-scoring tasks compute the class part in sparse NumPy batches (row gathers of hashed features).
+the token counts, stays in Spark. The scoring tasks compute the class part in sparse NumPy
+batches (row gathers of hashed features) and look up the counts of the ``FREQUENT`` most
+frequent training tokens, which hold most occurrences; every other token meets its count by
+a join. Training tasks are coalesced to one per ``TOKENS_PER_TASK`` training tokens, so the
+changes they hand in stay a small part of the input.
 
 Defined results: a null text is empty and has one token (the end). Tokens are words of
 lower-cased A-Z, then the end, which no word can equal (it is a line break). A null doc_id
 is held out: not learned from, and ``held_out`` true. Repeated rows are scored each and
 learned from each. ``score`` and ``base_score`` are log10 probabilities; an empty training
-set gives every token the unseen slot. Only doc_id and text are read.
+set gives every token the unseen slot. Only doc_id and text are read. Frequent tokens are
+found in tasks by their 64-bit hash: a rare token with the hash of a frequent one would be
+counted twice, with probability about 2**-64 per pair.
 """
 
 from __future__ import annotations
@@ -48,11 +53,16 @@ _SPACE = r"[\x20\x09-\x0D]+"
 CLASSES = 32
 #: Rows of hashed feature weights; the model has ROWS x CLASSES + CLASSES floats.
 ROWS = 1 << 16
-EPOCHS = 2
+EPOCHS = 1
 LEARNING_RATE = 0.2
 BATCH_TOKENS = 8192
 #: Floats per chunk in which tasks hand their changes to the sum.
 CHUNK = 1 << 16
+#: Training tokens per training task: each task hands in one change of the whole model.
+TOKENS_PER_TASK = 1 << 24
+#: The most frequent training tokens, whose counts every scoring task holds (a bound on what
+#: is broadcast); the counts of all other tokens meet their documents by a join.
+FREQUENT = 1 << 16
 
 _START = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,6 +133,13 @@ def _pieces(n: int, size: int) -> Iterator[slice]:
         yield slice(a, min(a + size, n))
 
 
+def _piece_features(hashes: np.ndarray, starts: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of one slice of a batch, which needs the two tokens before it as context."""
+    lo = max(part.start - 2, 0)
+    rows, classes = features(hashes[lo : part.stop], starts[lo : part.stop])
+    return rows[part.start - lo :], classes[part.start - lo :]
+
+
 def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
     """One round of parameter mixing: the token-weighted sum of every task's change, and the tokens."""
     spark = docs.sparkSession
@@ -138,9 +155,8 @@ def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
         seen = 0
         for batch in batches:
             hashes, starts, _ = _batch_tokens(batch, "hashes")
-            rows, classes = features(hashes, starts)
             for part in _pieces(len(hashes), BATCH_TOKENS):
-                r, c = rows[part], classes[part]
+                r, c = _piece_features(hashes, starts, part)
                 _, probs = class_log_probs(weights, bias, r, c)
                 grad = probs
                 grad[np.arange(len(c)), c] -= 1.0
@@ -160,7 +176,7 @@ def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
         change = np.append(change, float(seen))
         for k, part in enumerate(_pieces(len(change), CHUNK)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([change[part].astype(np.float64)], pa.list_(pa.float64()))],
+                [pa.array([k], pa.int32()), pa.array([change[part].astype(np.float32)], pa.list_(pa.float32()))],
                 names=["chunk", "values"],
             )
 
@@ -169,7 +185,7 @@ def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
 
     summed = (
         docs.select("hashes")
-        .mapInArrow(run, "chunk int, values array<double>")
+        .mapInArrow(run, "chunk int, values array<float>")
         .groupBy("chunk")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("values"))).alias("values"))
         .toArrow()
@@ -186,10 +202,12 @@ class Model:
     """What was learned: the class softmax's weights and the counts behind the base model."""
 
     params: np.ndarray
-    counts: DataFrame  # token, count, class
-    classes: list[tuple[int, int, int]]  # class, tokens, distinct
+    counts: DataFrame  # token, count, class: every training token
+    classes: np.ndarray  # per class: tokens, distinct tokens
     train_tokens: int
     distinct: int
+    frequent: tuple[np.ndarray, np.ndarray]  # hashes (sorted) and counts of the most frequent tokens
+    frequent_tokens: list[str]
 
     @property
     def weights(self) -> np.ndarray:
@@ -201,11 +219,17 @@ class Model:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, held_out, tokens``; the key is a digest of doc_id and text, equal only for equal rows."""
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    key = F.unhex(F.sha2(F.concat(ident, F.lit("\x00"), F.coalesce(F.col("text"), F.lit(""))), 256))
+    """``kid, kh, doc_id, held_out, tokens``.
+
+    ``(kid, kh)`` is doc_id and a 64-bit hash of doc_id and text: equal for equal rows, and
+    for rows of one doc_id whose texts differ only with probability 2**-64.
+    """
     return docs.select(
-        key.alias("key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), tokens(F.col("text")).alias("tokens")
+        F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("kid"),
+        F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("kh"),
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        tokens(F.col("text")).alias("tokens"),
     )
 
 
@@ -215,17 +239,27 @@ def token_class(token: Column) -> Column:
 
 def fit(docs: DataFrame, epochs: int = EPOCHS) -> Model:
     """Counts of all training tokens, and the class softmax trained on all of them."""
+    spark = docs.sparkSession
     train = tokenised(docs).filter(~F.col("held_out"))
     counts = written(
         train.select(F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
         .select("token", "count", token_class(F.col("token")).alias("class")),
-        work_dir(docs.sparkSession, "token-counts"),
+        work_dir(spark, "token-counts"),
     )
-    per_class = counts.groupBy("class").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    classes = [(r["class"], int(r["n"]), int(r["v"])) for r in per_class]
-    hashed = train.select(F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes"))
+    classes = np.zeros((CLASSES, 2), dtype=np.int64)
+    for r in counts.groupBy("class").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        classes[r["class"]] = (r["n"], r["v"])
+    n = int(classes[:, 0].sum())
+    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select(
+        "token", F.xxhash64("token").alias("hash"), "count"
+    ).collect()
+    hashes = np.array([r["hash"] for r in top], dtype=np.int64)
+    order = np.argsort(hashes, kind="stable")
+    frequent = (hashes[order], np.array([r["count"] for r in top], dtype=np.int64)[order])
+    tasks = max(1, math.ceil(n / TOKENS_PER_TASK))
+    hashed = train.select(F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes")).coalesce(tasks)
     params = np.zeros(ROWS * CLASSES + CLASSES)
     for _ in range(epochs):
         total = fit_changes(hashed, params)
@@ -235,86 +269,121 @@ def fit(docs: DataFrame, epochs: int = EPOCHS) -> Model:
         params=params.astype(np.float32),
         counts=counts,
         classes=classes,
-        train_tokens=sum(n for _, n, _ in classes),
-        distinct=sum(v for _, _, v in classes),
+        train_tokens=n,
+        distinct=int(classes[:, 1].sum()),
+        frequent=frequent,
+        frequent_tokens=[r["token"] for r in top],
     )
 
 
+def _log10_smoothed(c: np.ndarray, n: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.log10((c + SMOOTHING) / (n + SMOOTHING * (v + 1)))
+
+
 def class_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``key, doc_id, held_out, n_tokens, class_score``: the class part of each document, in log10."""
+    """Per row: tokens, the class part in log10, and the parts of the frequent tokens.
+
+    ``kid, kh, doc_id, held_out, n_tokens, class_score, known_f, base_f, word_f``.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.params)
+    shared = spark.sparkContext.broadcast((model.params, model.frequent, model.classes))
     ln10 = math.log(10)
+    n, v = model.train_tokens, model.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params = shared.value
+        params, (f_hash, f_count), classes = shared.value
         weights, bias = params[: ROWS * CLASSES].reshape(ROWS, CLASSES), params[ROWS * CLASSES :]
         for batch in batches:
             hashes, starts, offsets = _batch_tokens(batch, "hashes")
-            rows, classes = features(hashes, starts)
-            logs = np.empty(len(hashes))
+            logs, base, word = (np.zeros(len(hashes)) for _ in range(3))
+            known = np.zeros(len(hashes), dtype=bool)
             for part in _pieces(len(hashes), BATCH_TOKENS):
-                logs[part], _ = class_log_probs(weights, bias, rows[part], classes[part])
-            sums = np.add.reduceat(logs, offsets[:-1]) if len(logs) else np.zeros(0)
-            sums[np.diff(offsets) == 0] = 0.0
+                rows, cls = _piece_features(hashes, starts, part)
+                logs[part], _ = class_log_probs(weights, bias, rows, cls)
+                if not len(f_hash):
+                    continue
+                h = hashes[part]
+                at = np.minimum(np.searchsorted(f_hash, h), len(f_hash) - 1)
+                hit = f_hash[at] == h
+                c = np.where(hit, f_count[at], 0).astype(np.float64)
+                known[part] = hit
+                base[part] = np.where(hit, _log10_smoothed(c, n, v), 0.0)
+                word[part] = np.where(hit, _log10_smoothed(c, classes[cls, 0], classes[cls, 1]), 0.0)
+            starts_at, empty = offsets[:-1], np.diff(offsets) == 0
+
+            def per_row(x):
+                out = np.add.reduceat(x, starts_at) if len(x) else np.zeros(len(starts_at))
+                out[empty] = 0
+                return out
+
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), batch.column("held_out"),
-                 pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums / ln10)],
-                names=["key", "doc_id", "held_out", "n_tokens", "class_score"],
+                [batch.column("kid"), batch.column("kh"), batch.column("doc_id"), batch.column("held_out"),
+                 pa.array(np.diff(offsets).astype(np.int64)), pa.array(per_row(logs) / ln10),
+                 pa.array(per_row(known.astype(np.int64))), pa.array(per_row(base)), pa.array(per_row(word))],
+                names=["kid", "kh", "doc_id", "held_out", "n_tokens", "class_score", "known_f", "base_f", "word_f"],
             )
 
-    return docs.select("key", "doc_id", "held_out", F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes")).mapInArrow(
-        run, "key binary, doc_id bigint, held_out boolean, n_tokens bigint, class_score double"
+    return docs.select(
+        "kid", "kh", "doc_id", "held_out", F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes")
+    ).mapInArrow(
+        run,
+        "kid bigint, kh bigint, doc_id bigint, held_out boolean, n_tokens bigint, class_score double, "
+        "known_f bigint, base_f double, word_f double",
     )
 
 
-def token_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``key, n_known, base_score, word_score``: the parts of each document that need token counts.
+def rare_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``kid, kh, known_r, base_r, word_r``: the parts of the tokens that are not among the frequent.
 
-    Tokens are counted per key; rows of one key are copies, so the sums are divided by their number.
+    Their counts meet documents by a join on the token. Rows of one key are copies, so each
+    key's sums are divided by its number of rows.
     """
     spark = docs.sparkSession
     n, v = model.train_tokens, model.distinct
-    stats = spark.createDataFrame(model.classes, "class int, n bigint, v bigint")
-    per_doc = docs.select("key", F.explode("tokens").alias("token")).groupBy("key", "token").agg(
-        F.count(F.lit(1)).alias("times")
+    frequent = spark.createDataFrame([(t,) for t in model.frequent_tokens], "token string")
+    stats = spark.createDataFrame(
+        [(k, int(a), int(b)) for k, (a, b) in enumerate(model.classes)], "class int, n bigint, v bigint"
     )
-    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
-    known = per_doc.join(model.counts.select("token", "count"), "token", "left").select(
-        "key", "times", c.alias("c"), token_class(F.col("token")).alias("class")
+    pairs = (
+        docs.select("kid", "kh", F.explode("tokens").alias("token"))
+        # At most FREQUENT rows, and CLASSES below: bounds that do not grow with the corpus.
+        .join(F.broadcast(frequent), "token", "left_anti")
+        .groupBy("kid", "kh", "token")
+        .agg(F.count(F.lit(1)).alias("times"))
     )
-    # One row per class (CLASSES at most), whatever the corpus.
-    withclass = known.join(F.broadcast(stats), "class", "left")
+    c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
+    known = pairs.join(model.counts.select("token", "count"), "token", "left").select(
+        "kid", "kh", "times", c.alias("c"), token_class(F.col("token")).alias("class")
+    ).join(F.broadcast(stats), "class")
     base = F.log10((F.col("c") + SMOOTHING) / F.lit(n + SMOOTHING * (v + 1)))
-    word = F.log10(
-        (F.col("c") + SMOOTHING)
-        / (F.coalesce(F.col("n"), F.lit(0)) + SMOOTHING * (F.coalesce(F.col("v"), F.lit(0)) + 1))
-    )
-    sums = withclass.groupBy("key").agg(
+    word = F.log10((F.col("c") + SMOOTHING) / (F.col("n") + SMOOTHING * (F.col("v") + 1)))
+    sums = known.groupBy("kid", "kh").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * base).alias("base"),
         F.sum(F.col("times") * word).alias("word"),
     )
-    return sums.join(copies, "key").select(
-        "key",
-        (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("word") / F.col("copies")).alias("word_score"),
+    copies = docs.groupBy("kid", "kh").agg(F.count(F.lit(1)).alias("copies"))
+    return sums.join(copies, ["kid", "kh"]).select(
+        "kid", "kh",
+        (F.col("known") / F.col("copies")).cast("long").alias("known_r"),
+        (F.col("base") / F.col("copies")).alias("base_r"),
+        (F.col("word") / F.col("copies")).alias("word_r"),
     )
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every document: its tokens, how many are known, the base and the model's log10 probability."""
     rows = tokenised(docs)
+    zero = F.lit(0)
     return (
         class_scores(rows, model)
-        .join(token_scores(rows, model), "key")
+        .join(rare_scores(rows, model), ["kid", "kh"], "left")
         .select(
-            "doc_id", "held_out", "n_tokens", "n_known",
+            "doc_id", "held_out", "n_tokens",
+            (F.col("known_f") + F.coalesce("known_r", zero)).cast("long").alias("n_known"),
             F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-            "base_score",
-            (F.col("class_score") + F.col("word_score")).alias("score"),
+            (F.col("base_f") + F.coalesce("base_r", zero)).alias("base_score"),
+            (F.col("class_score") + F.col("word_f") + F.coalesce("word_r", zero)).alias("score"),
         )
     )
 

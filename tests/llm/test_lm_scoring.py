@@ -25,12 +25,15 @@ def held(doc_id):
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-@pytest.fixture(scope="module")
-def scored(spark):
+@pytest.fixture(scope="module", params=[1 << 16, 7])
+def scored(spark, request):
+    saved, lm.FREQUENT = lm.FREQUENT, request.param  # a few frequent tokens, so that both ways are taken
     rows = texts() + [(70, "the cat sat on the mat " * 30), (71, "The Cat sat on the mat " * 20), (72, "unseen words here")]
     docs = documents(spark, rows)
     model = lm.fit(docs, epochs=1)
-    return rows, model, {(r.doc_id, r.n_tokens): r for r in lm.score(docs, model).collect()}
+    found = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, model).collect()}
+    lm.FREQUENT = saved
+    return rows, model, found
 
 
 def test_base_against_counts(scored):
@@ -58,6 +61,7 @@ def test_score_against_brute_force(scored):
         k = int(np.uint64(spark_hash(w)) % np.uint64(lm.CLASSES))
         per_class[k] += c
         distinct[k] += 1
+    assert [tuple(x) for x in model.classes] == [(per_class[k], distinct[k]) for k in range(lm.CLASSES)]
     weights, bias = model.weights.astype(np.float64), model.bias.astype(np.float64)
     for i, t in rows[:40]:
         tok = words(t)
@@ -84,3 +88,14 @@ def test_empty_table(spark):
     empty = documents(spark, []).limit(0)
     model = lm.fit(empty, epochs=1)
     assert model.train_tokens == 0 and lm.score(empty, model).count() == 0
+
+
+def test_features_by_slices_equal_features_of_the_whole_batch():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(-(2**63), 2**63 - 1, size=20_000, dtype=np.int64)
+    starts = rng.random(20_000) < 0.001
+    starts[0] = True
+    rows, classes = lm.features(hashes, starts)
+    for part in lm._pieces(len(hashes), 777):
+        r, c = lm._piece_features(hashes, starts, part)
+        assert (r == rows[part]).all() and (c == classes[part]).all()
