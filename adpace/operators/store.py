@@ -1,13 +1,13 @@
-"""The report store as a table partitioned by a prefix of the row hash, bucketed by the hash.
+"""The report store as a table bucketed and sorted by row hash, with Bloom filters on the hash.
 
 An upsert compares each batch with what is stored under the batch's hashes only. The
-store is partitioned by the first ``PREFIX_CHARS`` hex digits of the hash: a batch lists
-its prefixes (at most 16 ** PREFIX_CHARS of them, whatever the data) and the scan opens
-the folders of those prefixes alone. Inside a folder the store is bucketed and sorted by
-hash, so the stored side is read bucket by bucket without a shuffle, and its Parquet files
-carry a Bloom filter and min/max statistics of the hash per row group: a batch of at most
-``PROBE_HASHES`` distinct hashes gives them to the scan as a filter, and row groups that
-cannot hold one are skipped. Both ways give the same rows; they differ in what is read.
+store is bucketed by hash, so the stored side is read bucket by bucket without a shuffle,
+and it is sorted by hash with a Parquet Bloom filter and min/max statistics of the hash per
+row group. A batch of at most ``PROBE_HASHES`` distinct hashes hands them to the scan as a
+filter: Spark's bucket pruning opens only the buckets that can hold them, and inside those
+files row groups that cannot hold one are skipped. A larger batch reads every bucket, which
+is what it has to compare with. Both ways give the same rows; they differ in what is read.
+A load writes at most one file per bucket.
 """
 
 from __future__ import annotations
@@ -25,18 +25,11 @@ from adpace.sources.delivery import ROW_HASH
 STORED_SCHEMA = T.StructType(
     S.DELIVERY_SCHEMA.fields + [T.StructField(ROW_HASH, T.StringType())]
 )
-HASH_PART = "hash_part"
-#: Hex digits of the hash that name a store's partition: 16 ** PREFIX_CHARS folders.
-PREFIX_CHARS = 2
 #: Batches with at most so many distinct hashes give them to the stored side's scan.
 PROBE_HASHES = 4096
 _BLOOM = {f"parquet.bloom.filter.enabled#{ROW_HASH}": "true"}
 
 
-def hash_part(column: str = ROW_HASH) -> F.Column:
-    return F.substring(F.col(column), 1, PREFIX_CHARS)
-
-
 @dataclass(frozen=True)
 class LoadResult:
     """How a load went: its mode and the rows it wrote (or parsed, to validate)."""
@@ -59,25 +52,14 @@ def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def pruned_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """The stored rows that can share a hash with the batch: its prefixes, and its hashes if few.
-
-    A store without the prefix column (made before it existed) is read whole.
-    """
-    if HASH_PART not in stored.columns:
-        return stored
-    hashes = batch.select(ROW_HASH).distinct()
-    parts = [r[0] for r in hashes.select(hash_part()).distinct().collect()]
-    kept = stored.filter(F.col(HASH_PART).isin(parts))
-    few = [r[0] for r in hashes.limit(PROBE_HASHES + 1).collect()]
-    if len(few) <= PROBE_HASHES:
-        kept = kept.filter(F.col(ROW_HASH).isin(few))
-    return kept
+    """The stored rows that can share a hash with the batch: all, or those of its hashes if few."""
+    few = [r[0] for r in batch.select(ROW_HASH).distinct().limit(PROBE_HASHES + 1).collect()]
+    return stored.filter(F.col(ROW_HASH).isin(few)) if len(few) <= PROBE_HASHES else stored
 
 
 def _bucketed(rows: DataFrame, buckets: int, mode: str) -> DataFrameWriter:
     return (
-        rows.write.mode(mode).format("parquet").options(**_BLOOM)
-        .partitionBy(HASH_PART).bucketBy(buckets, ROW_HASH).sortBy(ROW_HASH)
+        rows.write.mode(mode).format("parquet").options(**_BLOOM).bucketBy(buckets, ROW_HASH).sortBy(ROW_HASH)
     )
 
 
@@ -88,8 +70,7 @@ def create_store(
 
     Choose buckets so that one bucket fits a task: stored bytes / 256 MB or so.
     """
-    empty = spark.createDataFrame([], STORED_SCHEMA).withColumn(HASH_PART, hash_part())
-    writer = _bucketed(empty, buckets, "errorifexists")
+    writer = _bucketed(spark.createDataFrame([], STORED_SCHEMA), buckets, "errorifexists")
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
@@ -105,24 +86,16 @@ def upsert_store(report: DataFrame, table: str, buckets: int) -> LoadResult:
         create_store(report.sparkSession, table, buckets)
     spark = report.sparkSession
     stored = spark.table(table)
-    batch = report.select(*STORED_SCHEMA.fieldNames())
-    if HASH_PART in stored.columns:
-        # Parsed and hashed once: the prefixes that choose folders are those of the rows added.
-        staged = work_dir(spark, "upsert")
-        batch = written(batch, staged)
-    fresh = new_rows(batch, pruned_store(batch, stored))
-    if HASH_PART in stored.columns:
-        fresh = fresh.withColumn(HASH_PART, hash_part())
-    seen = Observation()
-    counted = fresh.repartition(buckets, ROW_HASH).observe(
-        seen, F.count(F.lit(1)).alias("rows")
-    )
-    writer = _bucketed(counted, buckets, "append") if HASH_PART in stored.columns else (
-        counted.write.mode("append").format("parquet").bucketBy(buckets, ROW_HASH).sortBy(ROW_HASH)
-    )
+    # Parsed and hashed once: the hashes that choose what is read are those of the rows added.
+    staged = work_dir(spark, "upsert")
     try:
-        writer.saveAsTable(table)
+        batch = written(report.select(*STORED_SCHEMA.fieldNames()), staged)
+        fresh = new_rows(batch, pruned_store(batch, stored))
+        seen = Observation()
+        counted = fresh.repartition(buckets, ROW_HASH).observe(
+            seen, F.count(F.lit(1)).alias("rows")
+        )
+        _bucketed(counted, buckets, "append").saveAsTable(table)
     finally:
-        if HASH_PART in stored.columns:
-            discarded(spark, staged)
+        discarded(spark, staged)
     return LoadResult("upsert", seen.get["rows"])

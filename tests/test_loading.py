@@ -303,28 +303,40 @@ def _scan_metrics(df):
     return found
 
 
+def _formatted(df) -> str:
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
 def test_a_small_batch_reads_only_what_can_hold_its_hashes(spark, monkeypatch):
     from adpace.operators import store
 
-    monkeypatch.setattr(store, "PREFIX_CHARS", 1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    # The upsert's join on the hash keeps the scan bucketed; a bare select would not.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
     try:
-        table, buckets, path = "pruned_store", 2, work_dir(spark, "store")
-        create_store(spark, table, buckets, path=path)
+        table, buckets = "pruned_store", 8
+        create_store(spark, table, buckets, path=work_dir(spark, "store"))
         report = X.report(spark, *[dict(order_id=i) for i in range(400)])
         assert upsert_store(report, table, buckets).rows == 400
         stored_table = spark.table(table)
         whole = _scan_metrics(stored_table.select("row_hash"))[0]
         batch = X.report(spark, dict(order_id=5), dict(order_id=100_000))
         pruned = store.pruned_store(batch, stored_table).select("row_hash")
-        files, rows = _scan_metrics(pruned)[0]
-        assert files <= 2 * buckets < whole[0] and rows < whole[1] / 4
-        # Without the hash filter (a large batch), the batch's prefixes still bound the folders.
+        _, rows = _scan_metrics(pruned)[0]
+        # Two hashes: at most two buckets, and only the row groups that can hold them.
+        assert f"SelectedBucketsCount: 2 out of {buckets}" in _formatted(pruned) and rows < whole[1] / 4
+        # A larger batch reads every bucket, and the load adds the same row either way.
         monkeypatch.setattr(store, "PROBE_HASHES", 1)
-        files, _ = _scan_metrics(store.pruned_store(batch, stored_table).select("row_hash"))[0]
-        assert files <= 2 * buckets
-        # The same rows either way, and the load adds the one new row.
+        everything = store.pruned_store(batch, stored_table).select("row_hash")
+        assert _scan_metrics(everything)[0] == whole and f"SelectedBucketsCount: {buckets} out of {buckets}" in _formatted(everything)
         assert upsert_store(batch, table, buckets).rows == 1
+        monkeypatch.undo()
+        assert upsert_store(batch, table, buckets).rows == 0
         assert spark.table(table).count() == 401
+        plan = store.new_rows(batch, store.pruned_store(batch, spark.table(table)))._jdf.queryExecution()
+        assert "Bucketed: true" in plan.executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
