@@ -10,7 +10,8 @@ The model is fitted on a bounded sample: at most ``DOCS_PER_LANGUAGE`` documents
 language, by hash of doc_id. A mask has one word for each
 32 languages, so any number of languages is told apart.
 
-Defined results: ``und`` with score 0 if text is null or has no letter, or nothing was
+Defined results: ``und`` with score 0 if text is null or has no letter (numbers of any kind,
+such as ``½``, ``²``, ``Ⅷ`` or ``٣``, are no letters), or nothing was
 learned. Ties go to the first language by name. Held-out documents are never learned
 from, and a prediction reads the text alone. A null doc_id is neither learned from nor
 held out. Extra columns are not read.
@@ -43,6 +44,9 @@ HASHES = 3
 CHUNK = 1 << 18
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
+#: Numeric characters that are not decimal digits (such as fractions, superscripts, Roman
+#: numerals) count as word characters for ``re``; they are no letters and become spaces.
+_NUMERIC = {c: " " for c in range(0x110000) if chr(c).isnumeric()}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,7 +59,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def normal(text: str) -> str:
     """Lower case; everything but letters becomes one space; a space at both ends."""
-    return f" {_NO_LETTER.sub(' ', text.lower()).strip()} "
+    return f" {_NO_LETTER.sub(' ', text.lower().translate(_NUMERIC)).strip()} "
 
 
 def grams(text: str) -> np.ndarray:

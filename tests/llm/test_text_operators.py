@@ -276,3 +276,10 @@ def test_more_languages_than_a_word_holds(spark):
     held = [r for r in language_id.predict(docs, model).collect() if r.held_out]
     assert {rows[r.doc_id][2] for r in held} >= {"l00", "l31", "l32", "l63", "l64", "l69"}
     assert all(r.lang_pred == rows[r.doc_id][2] for r in held)
+
+
+def test_numbers_are_no_letters_for_language_id():
+    # Fractions, superscripts, Roman numerals and non-Latin digits are numbers, not letters.
+    for text in ["½ ² Ⅷ ٣ 42", "³/₄ ⅓", "٠١٢ ۴۵"]:
+        assert language_id.normal(text).strip() == ""
+    assert language_id.normal("Wörld ½x") == " wörld x "
