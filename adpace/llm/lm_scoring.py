@@ -148,8 +148,9 @@ def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        weights = start[: ROWS * CLASSES].reshape(ROWS, CLASSES).copy()
-        bias = start[ROWS * CLASSES :].copy()
+        # Trained in single precision, which halves the memory traffic of every step.
+        weights = start[: ROWS * CLASSES].reshape(ROWS, CLASSES).astype(np.float32)
+        bias = start[ROWS * CLASSES :].astype(np.float32)
         g_weights = np.full_like(weights, 1e-6)
         g_bias = np.full_like(bias, 1e-6)
         seen = 0
@@ -160,19 +161,22 @@ def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
                 _, probs = class_log_probs(weights, bias, r, c)
                 grad = probs
                 grad[np.arange(len(c)), c] -= 1.0
-                # Sum the gradient per touched row: sort the rows and add runs.
+                # Sum the gradient per touched row: sort the rows once and add runs; the
+                # k-th feature row belongs to token k // 3.
                 flat_rows = r.ravel()
-                flat_grad = np.repeat(grad, 3, axis=0)
-                order = np.argsort(flat_rows, kind="stable")
-                touched, first = np.unique(flat_rows[order], return_index=True)
-                sums = np.add.reduceat(flat_grad[order], first, axis=0)
-                g_weights[touched] += sums * sums
-                weights[touched] -= LEARNING_RATE * sums / np.sqrt(g_weights[touched])
+                order = np.argsort(flat_rows)
+                ordered = flat_rows[order]
+                first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+                touched = ordered[first]
+                sums = np.add.reduceat(grad[order // 3], first, axis=0)
+                g = g_weights[touched] + sums * sums
+                g_weights[touched] = g
+                weights[touched] -= LEARNING_RATE * sums / np.sqrt(g)
                 b = grad.sum(axis=0)
                 g_bias += b * b
                 bias -= LEARNING_RATE * b / np.sqrt(g_bias)
             seen += len(hashes)
-        change = (np.concatenate([weights.ravel(), bias]) - start) * seen
+        change = (np.concatenate([weights.ravel(), bias]).astype(np.float64) - start) * seen
         change = np.append(change, float(seen))
         for k, part in enumerate(_pieces(len(change), CHUNK)):
             yield pa.RecordBatch.from_arrays(
