@@ -183,9 +183,12 @@ def op8_pii_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(
         F.transform(c, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{name}") for i, name in enumerate(KINDS[:4])
-    ]
+
+    def count(kind: int) -> Column:
+        # One parameter only: a second one, even with a default, would be given the element's position.
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{name}") for i, name in enumerate(KINDS[:4])]
     return personal_spans(table(spark, sf_dir, "documents")).select(
         "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
     )

@@ -239,6 +239,13 @@ def test_personal_base_spans(spark):
         assert span_list(r.base) == personal(dict(rows)[r.doc_id] or "") and set(span_list(r.base)) <= set(span_list(r.spans))
 
 
+def test_personal_counts_are_those_of_each_kind(spark, tmp_path):
+    rows = [(1, "on 10.0.0.1 and 10.0.0.2"), (2, "a@b.cd x@y.zz 4111 1111 1111 1111"), (3, "call +1 (555) 010-7788"), (4, None)]
+    found = pii_context.op8_pii_context(spark, folder(spark, tmp_path, documents=documents(spark, rows))).collect()
+    counts = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in found}
+    assert counts == {1: (0, 2, 0, 0), 2: (2, 0, 1, 0), 3: (0, 0, 0, 1), 4: (0, 0, 0, 0)}
+
+
 def test_contexts_discover_identifiers(spark):
     known = ["a@b.co", "c9@d.org", "x@y.zz", "+1 (555) 555-1234", "k@l.mn", "q@w.er", "u@i.op"]
     rows = [(i, f"please reach badge no {x} ok") for i, x in enumerate([*known, "BX-99887", "BX-99887."])] + [(99, "in year 20240 there was")]
