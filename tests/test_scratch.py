@@ -97,3 +97,33 @@ def test_a_published_table_is_old_or_new_and_whole_whatever_step_fails(spark, tm
     scratch.published(spark.range(1), target)
     assert read() == [0]
     assert len([x for x in os.listdir(target) if x.startswith("v-")]) == scratch.KEEP_VERSIONS
+
+
+def test_shuffle_files_go_with_their_write(spark, tmp_path):
+    before = spark.conf.get(scratch.SHUFFLE_CLEANUP)
+    with scratch.shuffles_removed(spark):
+        with scratch.shuffles_removed(spark):
+            assert spark.conf.get(scratch.SHUFFLE_CLEANUP) == "true"
+        assert spark.conf.get(scratch.SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(scratch.SHUFFLE_CLEANUP) == before
+
+
+def test_tables_are_written_one_by_one_and_a_failure_spares_the_others(spark, tmp_path, monkeypatch):
+    running, most = [], []
+    plain = scratch.written
+
+    def watched(df, path):
+        running.append(path)
+        most.append(len(running))
+        try:
+            return plain(df, path)
+        finally:
+            running.remove(path)
+
+    monkeypatch.setattr(scratch, "written", watched)
+    bad = spark.range(1).selectExpr("raise_error('no') AS x").selectExpr("CAST(x AS STRING) AS x")
+    tables = {"bad": (bad, f"{tmp_path}/bad"), **{f"t{i}": (spark.range(i), f"{tmp_path}/t{i}") for i in range(1, 4)}}
+    with pytest.raises(Exception, match="no"):
+        scratch.all_written(tables)
+    assert max(most) == 1
+    assert [spark.read.parquet(f"{tmp_path}/t{i}").count() for i in range(1, 4)] == [1, 2, 3]
