@@ -194,3 +194,20 @@ def test_clustered_facts_let_a_selective_filter_skip_files(spark, tmp_path):
         assert read <= 4000 / 2
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_report_rows_lie_by_order(spark, tmp_path):
+    """Items meet the orders after part and customer: one more shuffle of wide rows is not planned."""
+    from adpace.sources import retail
+
+    for name, ddl in retail.SCHEMAS.items():
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = retail.delivery(spark, str(tmp_path)).groupBy("order_id").count()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Items and part by part, orders and customer by customer, both sides by order: the rollup adds none.
+    assert plan.count("Exchange hashpartitioning") == 6
