@@ -290,3 +290,17 @@ def test_numbers_are_no_letters_for_language_id():
     for text in ["½ ² Ⅷ ٣ 42", "³/₄ ⅓", "٠١٢ ۴۵"]:
         assert language_id.normal(text).strip() == ""
     assert language_id.normal("Wörld ½x") == " wörld x "
+
+
+def test_batches_become_python_values_in_bounded_parts():
+    import pyarrow as pa
+
+    from adpace.llm import common
+
+    texts = ["", None, "x" * (3 * common.PART), *["y" * 1000] * 20_000, "z"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "text": texts, "ids": [[n, n] for n in range(len(texts))]})
+    parts = list(common._parts(batch))
+    assert all(p.nbytes <= common.PART or p.num_rows == 1 for p in parts) and len(parts) > 4
+    for name in ("i", "text", "ids"):
+        whole = common._values(batch.column(batch.schema.get_field_index(name)))
+        assert [x for p in parts for x in common._values(p.column(p.schema.get_field_index(name)))] == whole
