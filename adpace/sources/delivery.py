@@ -75,11 +75,15 @@ def with_row_hash(df: DataFrame) -> DataFrame:
     held = dict(df.dtypes)
     parts = []
     for name, ddl in S.DELIVERY_FIELDS:
-        text = F.col(name).cast("string")
-        if held[name] == "string" and ddl in ("bigint", "int") or ddl.startswith("decimal"):
-            text = number_text(text)
-        parts.append(F.coalesce(text, F.lit("")))
-    return df.withColumn(ROW_HASH, F.md5(F.concat_ws("|", *parts)))
+        number = held[name] == "string" and ddl in ("bigint", "int") or ddl.startswith("decimal")
+        parts.append(F.struct(F.col(name).cast("string").alias("text"), F.lit(number).alias("number")))
+    # One expression for all columns: written out for each, the generated method is too long
+    # for the JVM to compile, and every row of a load is interpreted.
+    texts = F.transform(
+        F.array(*parts),
+        lambda part: F.coalesce(F.when(part["number"], number_text(part["text"])).otherwise(part["text"]), F.lit("")),
+    )
+    return df.withColumn(ROW_HASH, F.md5(F.concat_ws("|", texts)))
 
 
 def number_text(text: Column) -> Column:

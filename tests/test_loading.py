@@ -340,3 +340,15 @@ def test_a_small_batch_reads_only_what_can_hold_its_hashes(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_row_hash_holds_one_number_pattern(spark, tmp_path):
+    """Written out for each column, the pattern makes a method too long for the JVM to compile."""
+    report = D.read_delivery_text(spark, write(tmp_path / "r.csv", HEADER, LINE))
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("regexp_replace") == 1
