@@ -342,6 +342,16 @@ def test_a_small_batch_reads_only_what_can_hold_its_hashes(spark, monkeypatch):
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
 
 
+def test_exports_are_compressed_and_read_back(spark, tmp_path):
+    from registry.queries import Tables
+
+    report = D.read_delivery_report(spark, write(tmp_path / "r.csv", HEADER, LINE, fields(order_name='"A ""b"", c"')))
+    folder = Tables(spark, "unused").write_report(str(tmp_path / "export"), report)
+    data = [f.name for f in (tmp_path / "export").iterdir() if f.name.startswith("part-")]
+    assert data and all(name.endswith(".csv.gz") for name in data)
+    assert sorted(D.read_delivery_report(spark, folder).collect()) == sorted(report.collect())
+
+
 def test_row_hash_holds_one_number_pattern(spark, tmp_path):
     """Written out for each column, the pattern makes a method too long for the JVM to compile."""
     report = D.read_delivery_text(spark, write(tmp_path / "r.csv", HEADER, LINE))
