@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from adpace.functions import metrics as M
 from adpace.functions.metrics import AsOf
-from adpace.scratch import work_dir, written
+from adpace.scratch import small_tasks, work_dir, written
 
 
 def order_health(orders: DataFrame, goals: DataFrame, as_of: AsOf) -> DataFrame:
@@ -149,11 +149,13 @@ def club_delivery(
     """One row per (club, order): delivery, shares and the order's pacing.
 
     Rows per (club, order) and the totals per club are stored, so the domain rows
-    are read once and a hot club can be split in the join of both.
+    are read once and a hot club can be split in the join of both. Counting line items sorts
+    and aggregates the domain rows several times in one stage, which runs in small tasks.
     """
     root = work_dir(domains.sparkSession, "club-delivery")
     mapped = domains_with_clubs(domains, clubs, on_unmapped)
-    per_order = written(club_order_agg(mapped), f"{root}/per-order")
+    with small_tasks(domains.sparkSession):
+        per_order = written(club_order_agg(mapped), f"{root}/per-order")
     totals = written(club_totals(per_order), f"{root}/totals").alias("t")
     order = health.select(
         F.col("order_id").alias("_order_id"),

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from adpace import scratch
+from adpace.operators import facts
 from adpace.sources.delivery import latest_report
 
 
@@ -127,3 +128,37 @@ def test_tables_are_written_one_by_one_and_a_failure_spares_the_others(spark, tm
         scratch.all_written(tables)
     assert max(most) == 1
     assert [spark.read.parquet(f"{tmp_path}/t{i}").count() for i in range(1, 4)] == [1, 2, 3]
+
+
+def test_the_club_aggregate_runs_in_small_tasks(spark, monkeypatch, tmp_path):
+    """Its stage holds a task's rows several times, so it must not join shuffle partitions up to 64 MB."""
+    files = {}
+
+    def stored(df, path):
+        files[path.rsplit("/", 1)[-1].split("-")[0]] = scratch.written(df, path)
+        return spark.read.parquet(path)
+
+    monkeypatch.setattr(facts, "written", stored)
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        domains = spark.range(2000).selectExpr(
+            "id AS order_id", "concat('o', id) AS order_name", "id AS line_item_id", "'a' AS advertiser_name",
+            "'x.com' AS domain_name", "id AS ad_server_impressions",
+        ).repartition("order_id")
+        clubs = spark.createDataFrame([("x.com", "c", "C")], "domain_name string, club_name string, club_display_name string")
+        health = spark.range(2000).selectExpr(
+            "id AS order_id", "'x' AS order_delivery_status_name", *[f"date'2025-01-01' AS schedule_{x}_date" for x in ("start", "end")],
+            *[f"timestamp_ntz'2025-01-01' AS schedule_{x}_datetime" for x in ("start", "end")], "1 AS schedule_days",
+            "1 AS days_elapsed", "1D AS schedule_pct_elapsed", "1D AS pacing_index", "1L AS reported_impressions",
+            "1L AS reported_clicks", "1L AS impression_goal",
+        )
+        before = {c: spark.conf.get(c, None) for c in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+        got = facts.club_delivery(domains, clubs, health)
+        assert got.count() == 2000 and got.agg({"club_delivered_impressions": "sum"}).first()[0] == 1999 * 1000
+        assert len(files["per"].inputFiles()) > 4
+        assert before == {c: spark.conf.get(c, None) for c in before}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
