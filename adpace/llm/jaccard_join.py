@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpace.llm.common import table
+from adpace.llm.common import batch_parts, table
 from adpace.llm.shingles import Shingler
 from adpace.scratch import work_dir, written
 
@@ -100,7 +100,7 @@ def low_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, recent = Shingler(width), _Recent()
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_parts(whole)):
             parts = [
                 keys[: np.searchsorted(keys, np.uint64(1 << 62))]
                 for keys in shingler.sets(_texts(batch))
@@ -160,7 +160,7 @@ def indexed(docs: DataFrame, width: int, percent: int, tables: tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, heavy = shared_tables.value
         shingler, recent = Shingler(width), _Recent()
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_parts(whole)):
             sizes, sigs, prefixes, paths = [], [], [], []
             for keys in shingler.sets(_texts(batch)):
                 sig = signature(keys) if len(keys) else None
@@ -317,7 +317,8 @@ def _tried(tasks: DataFrame, sets: DataFrame, output, schema: str) -> DataFrame:
     types = [pa.binary() if field.endswith("binary") else pa.int64() for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        parts = (part for whole in batches for part in batch_parts(whole))
+        rows = (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns)))
         for _, group in groupby(rows, key=lambda row: row[0]):
             sides: tuple[list, list] = ([], [])
             for _, member, sig, path in group:

@@ -5,11 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from adpace.llm import block_search, jaccard_join, piece_codec, registry
+from adpace.llm import block_search, common, jaccard_join, piece_codec, registry
 from tests.llm.data import documents, folder, texts
 from tests.oracle import connect, differences
 
@@ -201,3 +202,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert 43 not in ids and 1 not in ids and {30, 36, 7} <= ids and len(ids & {10, 11, 12, 13}) == 1
     packed = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in packed.collect()} == ids
+
+
+def test_shingle_tasks_take_a_batch_in_parts(spark, monkeypatch):
+    """A batch is bounded in rows only, so its sets and paths must not all be in memory at once."""
+    monkeypatch.setattr(common, "PART", 1 << 12)
+    asked = []
+    sets = jaccard_join.Shingler.sets
+    monkeypatch.setattr(jaccard_join.Shingler, "sets", lambda self, texts: asked.append(sum(map(len, texts))) or sets(self, texts))
+
+    class Local:
+        """A table whose task runs here, on one batch."""
+
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            rows = near_copies()
+            batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+            return pa.Table.from_batches(run(iter([batch])))
+
+    full = np.full(jaccard_join.TABLE_BITS // 8, 255, np.uint8)
+    rows = jaccard_join.indexed(Local(), 5, 80, (full, np.zeros_like(full)))
+    assert rows.column("doc_id").to_pylist() == [i for i, _ in near_copies()]
+    assert jaccard_join.low_shingles(Local(), 5, 80).num_rows > 0
+    assert len(asked) > 20 and max(asked) <= 1 << 12
