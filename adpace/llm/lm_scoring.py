@@ -16,17 +16,17 @@ the weight vector) and the driver averages them (iterative parameter mixing). Th
 have a fixed size (``ROWS x CLASSES`` floats) whatever the corpus; what grows with the corpus,
 the token counts, stays in Spark. The scoring tasks compute the class part in sparse NumPy
 batches (row gathers of hashed features) and look up the counts of the ``FREQUENT`` most
-frequent training tokens, which hold most occurrences; every other token meets its count by
-a join. Training tasks are coalesced to one per ``TOKENS_PER_TASK`` training tokens, so the
+frequent training tokens, which hold most occurrences; the hash of every other token leaves
+the task and meets its count by a join. Training tasks are coalesced to one per ``TOKENS_PER_TASK`` training tokens, so the
 changes they hand in stay a small part of the input.
 
 Defined results: a null text is empty and has one token (the end). Tokens are words of
 lower-cased A-Z, then the end, which no word can equal (it is a line break). A null doc_id
 is held out: not learned from, and ``held_out`` true. Repeated rows are scored each and
 learned from each. ``score`` and ``base_score`` are log10 probabilities; an empty training
-set gives every token the unseen slot. Only doc_id and text are read. Frequent tokens are
-found in tasks by their 64-bit hash: a rare token with the hash of a frequent one would be
-counted twice, with probability about 2**-64 per pair.
+set gives every token the unseen slot. Only doc_id and text are read. Tokens are told apart
+by their 64-bit hash: two that share one would be counted as one, with probability about
+2**-64 per pair.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adpace.llm.common import table
-from adpace.scratch import work_dir, written
+from adpace.scratch import discarded, work_dir, written
 
 # Fixed values of the contract.
 HELD_OUT_EVERY = 10
@@ -51,7 +51,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 #: Classes of the factored softmax (a power of two: classes are the low bits of a hash).
 CLASSES = 32
-#: Rows of hashed feature weights; the model has ROWS x CLASSES + CLASSES floats.
+#: Rows of hashed feature weights (a power of two); the model has ROWS x CLASSES + CLASSES floats.
 ROWS = 1 << 16
 EPOCHS = 1
 LEARNING_RATE = 0.2
@@ -106,17 +106,24 @@ def features(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
                 _mix(prev2 ^ np.uint64(3)),
             ],
             axis=1,
-        ) % np.uint64(ROWS)
+        ) & np.uint64(ROWS - 1)
     return rows.astype(np.int64), (h % np.uint64(CLASSES)).astype(np.int64)
 
 
-def class_log_probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log of P(class | history) of each token, and the probabilities of all classes."""
-    logits = bias + weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]]
-    logits = logits - logits.max(axis=1, keepdims=True)
-    log_z = np.log(np.exp(logits).sum(axis=1))
-    chosen = logits[np.arange(len(classes)), classes] - log_z
-    return chosen, np.exp(logits - log_z[:, None])
+def class_logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all classes for each token, less their largest, and the log of their normaliser."""
+    logits = np.take(weights, rows[:, 0], axis=0)
+    logits += bias
+    logits += np.take(weights, rows[:, 1], axis=0)
+    logits += np.take(weights, rows[:, 2], axis=0)
+    logits -= logits.max(axis=1, keepdims=True)
+    return logits, np.log(np.exp(logits).sum(axis=1))
+
+
+def class_log_probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | history) of each token."""
+    logits, log_z = class_logits(weights, bias, rows)
+    return logits[np.arange(len(classes)), classes] - log_z
 
 
 def _batch_tokens(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +165,9 @@ def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
             hashes, starts, _ = _batch_tokens(batch, "hashes")
             for part in _pieces(len(hashes), BATCH_TOKENS):
                 r, c = _piece_features(hashes, starts, part)
-                _, probs = class_log_probs(weights, bias, r, c)
-                grad = probs
+                logits, log_z = class_logits(weights, bias, r)
+                logits -= log_z[:, None]
+                grad = np.exp(logits, out=logits)
                 grad[np.arange(len(c)), c] -= 1.0
                 # Sum the gradient per touched row: sort the rows once and add runs; the
                 # k-th feature row belongs to token k // 3.
@@ -168,10 +176,13 @@ def fit_changes(docs: DataFrame, params: np.ndarray) -> np.ndarray:
                 ordered = flat_rows[order]
                 first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
                 touched = ordered[first]
-                sums = np.add.reduceat(grad[order // 3], first, axis=0)
-                g = g_weights[touched] + sums * sums
+                sums = np.add.reduceat(np.take(grad, order // 3, axis=0), first, axis=0)
+                g = np.take(g_weights, touched, axis=0)
+                g += sums * sums
                 g_weights[touched] = g
-                weights[touched] -= LEARNING_RATE * sums / np.sqrt(g)
+                sums *= LEARNING_RATE
+                sums /= np.sqrt(g, out=g)
+                weights[touched] = np.take(weights, touched, axis=0) - sums
                 b = grad.sum(axis=0)
                 g_bias += b * b
                 bias -= LEARNING_RATE * b / np.sqrt(g_bias)
@@ -206,12 +217,11 @@ class Model:
     """What was learned: the class softmax's weights and the counts behind the base model."""
 
     params: np.ndarray
-    counts: DataFrame  # token, count, class: every training token
+    counts: DataFrame  # hash, count: every training token
     classes: np.ndarray  # per class: tokens, distinct tokens
     train_tokens: int
     distinct: int
     frequent: tuple[np.ndarray, np.ndarray]  # hashes (sorted) and counts of the most frequent tokens
-    frequent_tokens: list[str]
 
     @property
     def weights(self) -> np.ndarray:
@@ -223,7 +233,7 @@ class Model:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """``kid, kh, doc_id, held_out, tokens``.
+    """``kid, kh, doc_id, held_out, hashes``, the 64-bit hash of each token in order.
 
     ``(kid, kh)`` is doc_id and a 64-bit hash of doc_id and text: equal for equal rows, and
     for rows of one doc_id whose texts differ only with probability 2**-64.
@@ -233,37 +243,37 @@ def tokenised(docs: DataFrame) -> DataFrame:
         F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("kh"),
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        tokens(F.col("text")).alias("tokens"),
+        F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"),
     )
 
 
-def token_class(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(CLASSES)).cast("int")
+def token_class(token_hash: Column) -> Column:
+    return F.pmod(token_hash, F.lit(CLASSES)).cast("int")
 
 
 def fit(docs: DataFrame, epochs: int = EPOCHS) -> Model:
     """Counts of all training tokens, and the class softmax trained on all of them."""
-    spark = docs.sparkSession
-    train = tokenised(docs).filter(~F.col("held_out"))
+    return fit_tokens(tokenised(docs), epochs)
+
+
+def fit_tokens(rows: DataFrame, epochs: int = EPOCHS) -> Model:
+    """``fit`` of the rows of ``tokenised``."""
+    spark = rows.sparkSession
+    train = rows.filter(~F.col("held_out"))
     counts = written(
-        train.select(F.explode("tokens").alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select("token", "count", token_class(F.col("token")).alias("class")),
+        train.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("count")),
         work_dir(spark, "token-counts"),
     )
     classes = np.zeros((CLASSES, 2), dtype=np.int64)
-    for r in counts.groupBy("class").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    for r in counts.groupBy(token_class(F.col("hash")).alias("class")).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         classes[r["class"]] = (r["n"], r["v"])
     n = int(classes[:, 0].sum())
-    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select(
-        "token", F.xxhash64("token").alias("hash"), "count"
-    ).collect()
+    top = counts.orderBy(F.desc("count"), "hash").limit(FREQUENT).collect()
     hashes = np.array([r["hash"] for r in top], dtype=np.int64)
     order = np.argsort(hashes, kind="stable")
     frequent = (hashes[order], np.array([r["count"] for r in top], dtype=np.int64)[order])
     tasks = max(1, math.ceil(n / TOKENS_PER_TASK))
-    hashed = train.select(F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes")).coalesce(tasks)
+    hashed = train.select("hashes").coalesce(tasks)
     params = np.zeros(ROWS * CLASSES + CLASSES)
     for _ in range(epochs):
         total = fit_changes(hashed, params)
@@ -276,7 +286,6 @@ def fit(docs: DataFrame, epochs: int = EPOCHS) -> Model:
         train_tokens=n,
         distinct=int(classes[:, 1].sum()),
         frequent=frequent,
-        frequent_tokens=[r["token"] for r in top],
     )
 
 
@@ -285,9 +294,9 @@ def _log10_smoothed(c: np.ndarray, n: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def class_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: tokens, the class part in log10, and the parts of the frequent tokens.
+    """Per row: tokens, the class part in log10, the parts of the frequent tokens, and the others' hashes.
 
-    ``kid, kh, doc_id, held_out, n_tokens, class_score, known_f, base_f, word_f``.
+    ``kid, kh, doc_id, held_out, n_tokens, class_score, known_f, base_f, word_f, rare``.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.params, model.frequent, model.classes))
@@ -303,7 +312,7 @@ def class_scores(docs: DataFrame, model: Model) -> DataFrame:
             known = np.zeros(len(hashes), dtype=bool)
             for part in _pieces(len(hashes), BATCH_TOKENS):
                 rows, cls = _piece_features(hashes, starts, part)
-                logs[part], _ = class_log_probs(weights, bias, rows, cls)
+                logs[part] = class_log_probs(weights, bias, rows, cls)
                 if not len(f_hash):
                     continue
                 h = hashes[part]
@@ -314,6 +323,7 @@ def class_scores(docs: DataFrame, model: Model) -> DataFrame:
                 base[part] = np.where(hit, _log10_smoothed(c, n, v), 0.0)
                 word[part] = np.where(hit, _log10_smoothed(c, classes[cls, 0], classes[cls, 1]), 0.0)
             starts_at, empty = offsets[:-1], np.diff(offsets) == 0
+            rare_at = np.concatenate([[0], np.cumsum(~known)])[offsets].astype(np.int32)
 
             def per_row(x):
                 out = np.add.reduceat(x, starts_at) if len(x) else np.zeros(len(starts_at))
@@ -323,41 +333,38 @@ def class_scores(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("kid"), batch.column("kh"), batch.column("doc_id"), batch.column("held_out"),
                  pa.array(np.diff(offsets).astype(np.int64)), pa.array(per_row(logs) / ln10),
-                 pa.array(per_row(known.astype(np.int64))), pa.array(per_row(base)), pa.array(per_row(word))],
-                names=["kid", "kh", "doc_id", "held_out", "n_tokens", "class_score", "known_f", "base_f", "word_f"],
+                 pa.array(per_row(known.astype(np.int64))), pa.array(per_row(base)), pa.array(per_row(word)),
+                 pa.ListArray.from_arrays(pa.array(rare_at), pa.array(hashes[~known]))],
+                names=["kid", "kh", "doc_id", "held_out", "n_tokens", "class_score", "known_f", "base_f", "word_f", "rare"],
             )
 
-    return docs.select(
-        "kid", "kh", "doc_id", "held_out", F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes")
-    ).mapInArrow(
+    return docs.select("kid", "kh", "doc_id", "held_out", "hashes").mapInArrow(
         run,
         "kid bigint, kh bigint, doc_id bigint, held_out boolean, n_tokens bigint, class_score double, "
-        "known_f bigint, base_f double, word_f double",
+        "known_f bigint, base_f double, word_f double, rare array<bigint>",
     )
 
 
-def rare_scores(docs: DataFrame, model: Model) -> DataFrame:
+def rare_scores(rows: DataFrame, model: Model) -> DataFrame:
     """``kid, kh, known_r, base_r, word_r``: the parts of the tokens that are not among the frequent.
 
-    Their counts meet documents by a join on the token. Rows of one key are copies, so each
-    key's sums are divided by its number of rows.
+    ``rows`` are those of ``class_scores``. The counts meet documents by a join on the token's
+    hash. Rows of one key are copies, so each key's sums are divided by its number of rows.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     n, v = model.train_tokens, model.distinct
-    frequent = spark.createDataFrame([(t,) for t in model.frequent_tokens], "token string")
     stats = spark.createDataFrame(
         [(k, int(a), int(b)) for k, (a, b) in enumerate(model.classes)], "class int, n bigint, v bigint"
     )
     pairs = (
-        docs.select("kid", "kh", F.explode("tokens").alias("token"))
-        # At most FREQUENT rows, and CLASSES below: bounds that do not grow with the corpus.
-        .join(F.broadcast(frequent), "token", "left_anti")
-        .groupBy("kid", "kh", "token")
+        rows.select("kid", "kh", F.explode("rare").alias("hash"))
+        .groupBy("kid", "kh", "hash")
         .agg(F.count(F.lit(1)).alias("times"))
     )
     c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
-    known = pairs.join(model.counts.select("token", "count"), "token", "left").select(
-        "kid", "kh", "times", c.alias("c"), token_class(F.col("token")).alias("class")
+    # The broadcast has CLASSES rows, which do not grow with the corpus.
+    known = pairs.join(model.counts, "hash", "left").select(
+        "kid", "kh", "times", c.alias("c"), token_class(F.col("hash")).alias("class")
     ).join(F.broadcast(stats), "class")
     base = F.log10((F.col("c") + SMOOTHING) / F.lit(n + SMOOTHING * (v + 1)))
     word = F.log10((F.col("c") + SMOOTHING) / (F.col("n") + SMOOTHING * (F.col("v") + 1)))
@@ -366,7 +373,7 @@ def rare_scores(docs: DataFrame, model: Model) -> DataFrame:
         F.sum(F.col("times") * base).alias("base"),
         F.sum(F.col("times") * word).alias("word"),
     )
-    copies = docs.groupBy("kid", "kh").agg(F.count(F.lit(1)).alias("copies"))
+    copies = rows.groupBy("kid", "kh").agg(F.count(F.lit(1)).alias("copies"))
     return sums.join(copies, ["kid", "kh"]).select(
         "kid", "kh",
         (F.col("known") / F.col("copies")).cast("long").alias("known_r"),
@@ -377,11 +384,16 @@ def rare_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every document: its tokens, how many are known, the base and the model's log10 probability."""
-    rows = tokenised(docs)
+    return score_tokens(tokenised(docs), model)
+
+
+def score_tokens(rows: DataFrame, model: Model) -> DataFrame:
+    """``score`` of the rows of ``tokenised``. The class scores are stored: two steps read them."""
+    scored = written(class_scores(rows, model), work_dir(rows.sparkSession, "class-scores"))
     zero = F.lit(0)
     return (
-        class_scores(rows, model)
-        .join(rare_scores(rows, model), ["kid", "kh"], "left")
+        scored
+        .join(rare_scores(scored, model), ["kid", "kh"], "left")
         .select(
             "doc_id", "held_out", "n_tokens",
             (F.col("known_f") + F.coalesce("known_r", zero)).cast("long").alias("n_known"),
@@ -394,4 +406,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs))
+    # Texts become hashes once: counting, training and scoring read them.
+    path = work_dir(spark, "token-hashes")
+    rows = written(tokenised(docs), path)
+    scores = score_tokens(rows, fit_tokens(rows))
+    discarded(spark, path)  # the stored class scores are all that is read from here on
+    return scores

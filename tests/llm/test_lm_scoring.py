@@ -99,3 +99,14 @@ def test_features_by_slices_equal_features_of_the_whole_batch():
     for part in lm._pieces(len(hashes), 777):
         r, c = lm._piece_features(hashes, starts, part)
         assert (r == rows[part]).all() and (c == classes[part]).all()
+
+
+def test_only_the_hashes_of_rare_tokens_leave_the_scoring_tasks(spark, monkeypatch):
+    """Texts become hashes once; what meets counts by a join is the hashes a task cannot look up."""
+    monkeypatch.setattr(lm, "FREQUENT", 3)
+    rows = lm.tokenised(documents(spark, texts()))
+    model = lm.fit_tokens(rows)
+    frequent = set(model.frequent[0].tolist())
+    assert len(frequent) == 3
+    want = Counter((i, tuple(h for w in words(t) if (h := int(spark_hash(w))) not in frequent)) for i, t in texts())
+    assert Counter((r.doc_id, tuple(r.rare)) for r in lm.class_scores(rows, model).collect()) == want
