@@ -304,18 +304,24 @@ def order_size_stats(sizes: DataFrame) -> DataFrame:
     )
 
 
+#: The line-item aggregates that creative sizes take, besides the totals.
+SIZE_ITEM_COLUMNS = ["order_id", "line_item_priority", "line_item_type_name", "order_delivery_status_name"]
+
+
 def creative_sizes(
-    sizes: DataFrame, line_items: DataFrame, health: DataFrame
+    sizes: DataFrame, line_items: DataFrame, health: DataFrame, by_order: bool = False
 ) -> DataFrame:
     """One row per (line item, size, device) with line-item and order context.
 
     ``sizes`` is the output of ``creative_size_rollup``. The line-item total is
     the report window's, not the lifetime figure. Order health is attached to
     the smaller order-size statistics, which every size row with an order
-    matches, so that the size rows shuffle once for both.
+    matches, so that the size rows shuffle once for both. ``by_order`` is for rollups
+    made so: line items then join by order as well, where the rows lie already.
     """
     item = line_items.select(
         F.col("line_item_id").alias("_item"),
+        F.col("order_id").alias("_item_order"),
         F.col("impressions").alias("line_item_total_impressions"),
         F.col("clicks").alias("line_item_total_clicks"),
         F.col("ctr").alias("line_item_ctr"),
@@ -340,6 +346,9 @@ def creative_sizes(
         .join(order, F.col("_stats_order") == F.col("_health_order"), "left")
     )
     size_total = F.col("order_size_impressions")
+    on_item = F.col("line_item_id") == F.col("_item")
+    if by_order:
+        on_item = (F.col("order_id") == F.col("_item_order")) & on_item
     return (
         sizes.withColumnsRenamed(
             {
@@ -348,14 +357,14 @@ def creative_sizes(
                 "ctr": "creative_size_ctr",
             }
         )
-        .join(item, F.col("line_item_id") == F.col("_item"), "left")
+        .join(item, on_item, "left")
         .join(
             context,
             (F.col("order_id") == F.col("_stats_order"))
             & (F.col("rendered_creative_size") == F.col("_stats_size")),
             "left",
         )
-        .drop("_item", "_health_order", "_stats_order", "_stats_size")
+        .drop("_item", "_item_order", "_health_order", "_stats_order", "_stats_size")
         .withColumns(
             {
                 "creative_size_share_of_line_item": M.safe_ratio(

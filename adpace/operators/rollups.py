@@ -9,8 +9,8 @@ rollup merges with the rollup of added rows (``Rollup.merge``) without the repor
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Collection
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +45,24 @@ class Rollup:
     finish: Callable[[DataFrame], DataFrame]
     rows: Callable[[DataFrame], DataFrame] = lambda raw: raw
 
-    def build(self, raw: DataFrame) -> DataFrame:
-        """The rollup of report rows."""
-        parts = [getattr(F, f)(source).alias(name) for f, source, name in self.spec]
-        return self.finish(self.rows(raw).groupBy(*self.keys).agg(*parts))
+    def build(self, raw: DataFrame, by_order: bool = False) -> DataFrame:
+        """The rollup of report rows.
+
+        ``by_order`` is for rows in which each key has one order (``placement.ByOrder.closed``):
+        they group by order as well, which changes no group and needs no shuffle where they
+        lie by order.
+        """
+        keys = self.keys
+        if by_order and "order_id" not in keys:
+            keys = ("order_id", *keys)
+        parts = [getattr(F, f)(source).alias(name) for f, source, name in self.spec if name not in keys]
+        rolled = self.rows(raw).groupBy(*keys).agg(*parts)
+        return self.finish(rolled.select(*self.keys, *(name for _, _, name in self.spec)))
+
+    def only(self, columns: Collection[str]) -> Rollup:
+        """This rollup with the named aggregates and the totals, and what derives from them."""
+        kept = [part for part in self.spec if part[0] == "sum" or part[2] in columns]
+        return replace(self, spec=kept)
 
     def merge(self, stored: DataFrame, added: DataFrame) -> DataFrame:
         """The rollup of the rows behind ``stored`` and the report rows ``added``, from both.
@@ -208,17 +222,22 @@ def order_rollup(raw: DataFrame) -> DataFrame:
     return ORDERS.build(raw)
 
 
-def line_item_rollup(raw: DataFrame) -> DataFrame:
-    """One row per line item, with a sample creative, size and device; CTR as fraction."""
-    return LINE_ITEMS.build(raw)
+def line_item_rollup(
+    raw: DataFrame, by_order: bool = False, columns: Collection[str] | None = None
+) -> DataFrame:
+    """One row per line item, with a sample creative, size and device; CTR as fraction.
+
+    ``columns`` names the aggregates wanted, totals always included, for rows that lack the others.
+    """
+    return (LINE_ITEMS.only(columns) if columns is not None else LINE_ITEMS).build(raw, by_order)
 
 
-def creative_size_rollup(raw: DataFrame) -> DataFrame:
+def creative_size_rollup(raw: DataFrame, by_order: bool = False) -> DataFrame:
     """One row per (line item, creative size, device); blank sizes are left out.
 
     The size stays as reported, padding included. A missing device is a group.
     """
-    return SIZES.build(raw)
+    return SIZES.build(raw, by_order)
 
 
 def line_items_table(raw: DataFrame) -> DataFrame:
