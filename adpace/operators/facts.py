@@ -210,14 +210,25 @@ def club_delivery(
     )
 
 
+def _same(left: str, right: str) -> Column:
+    """Equality that only checks the rows a join brings together, without being a key of it."""
+    return F.coalesce(F.col(left) == F.col(right), F.lit(False))
+
+
 def line_item_diagnostics(
-    domains: DataFrame, line_items: DataFrame, clubs: DataFrame, health: DataFrame
+    domains: DataFrame,
+    line_items: DataFrame,
+    clubs: DataFrame,
+    health: DataFrame,
+    by_order: bool = False,
 ) -> DataFrame:
     """One row per (order, line item, domain) with attributes, club and order pacing.
 
     Totals are lifetime figures, window figures come from the report. A domain
     listed twice in the club map yields two rows. The wide line-item attributes
-    join last, so that the shuffles before it move narrow rows.
+    join last, so that the shuffles before it move narrow rows. ``by_order`` is for line
+    items rolled up so, of orders with few of them: all joins then go by the order alone,
+    where the rows lie already, and compare advertiser and line item within the order.
     """
     club = clubs.select(
         F.lower("domain_name").alias("_domain"), "club_name", "club_display_name"
@@ -260,19 +271,21 @@ def line_item_diagnostics(
         "device_category_name",
     )
     lifetime = F.col("line_item_total_impressions")
+    advertiser = F.col("advertiser_name") == F.col("_health_advertiser")
+    line_item = F.col("line_item_id") == F.col("_item")
+    if by_order:
+        advertiser, line_item = _same("advertiser_name", "_health_advertiser"), _same("line_item_id", "_item")
     return (
         domains.withColumnRenamed("ad_server_impressions", "domain_impressions")
         .join(club, F.lower("domain_name") == F.col("_domain"), "left")
         .join(
             order,
-            (F.col("order_id") == F.col("_health_order"))
-            & (F.col("advertiser_name") == F.col("_health_advertiser")),
+            (F.col("order_id") == F.col("_health_order")) & advertiser,
             "left",
         )
         .join(
             item,
-            (F.col("order_id") == F.col("_item_order"))
-            & (F.col("line_item_id") == F.col("_item")),
+            (F.col("order_id") == F.col("_item_order")) & line_item,
             "left",
         )
         .drop("_domain", "_health_order", "_health_advertiser", "_item_order", "_item")
@@ -304,6 +317,25 @@ def order_size_stats(sizes: DataFrame) -> DataFrame:
     )
 
 
+#: The line-item aggregates that diagnostics take, besides the totals.
+DIAGNOSTIC_ITEM_COLUMNS = [
+    "order_id",
+    "schedule_start_date",
+    "schedule_end_date",
+    "schedule_start_datetime",
+    "schedule_end_datetime",
+    "impression_goal_units_raw",
+    "impression_goal_unit_type_raw",
+    "lifetime_impressions",
+    "lifetime_clicks",
+    "line_item_delivery_indicator",
+    "line_item_priority",
+    "line_item_type_name",
+    "order_delivery_status_name",
+    "creative_name",
+    "rendered_creative_size",
+    "device_category_name",
+]
 #: The line-item aggregates that creative sizes take, besides the totals.
 SIZE_ITEM_COLUMNS = ["order_id", "line_item_priority", "line_item_type_name", "order_delivery_status_name"]
 

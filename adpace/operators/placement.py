@@ -35,10 +35,11 @@ class ByOrder:
     open_orders: DataFrame
 
 
-def rows_by_order(raw: DataFrame, about: int, order_rows: int = ORDER_ROWS) -> ByOrder:
+def rows_by_order(raw: DataFrame, about: int = 0, order_rows: int = ORDER_ROWS) -> ByOrder:
     """Store report rows by order and tell apart the orders that are closed.
 
-    ``about`` is the number of rows, roughly; it only decides on the number of buckets.
+    ``about`` is the number of rows, roughly; it only decides on the number of buckets, which
+    is that of the shuffle partitions at least.
     The one shuffle here is by line item: its id and a count. The ids of shared line items
     and of open orders are stored, so their file size decides on a broadcast.
     """

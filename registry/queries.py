@@ -63,6 +63,19 @@ SIZE_COLUMNS = [
     "rendered_creative_size", "device_category_name", "ad_server_impressions", "ad_server_clicks",
 ]
 
+# What the diagnostics take from the report, and the most rows of an order whose line items
+# meet its domain rows by the order alone.
+ITEM_COLUMNS = [
+    "order_id", "line_item_id", "line_item_start_date", "line_item_end_date",
+    "line_item_start_date_time", "line_item_end_date_time",
+    "line_item_primary_goal_units_absolute", "line_item_primary_goal_unit_type_name",
+    "line_item_lifetime_impressions", "line_item_lifetime_clicks",
+    "line_item_delivery_indicator", "line_item_priority", "line_item_type_name",
+    "order_delivery_status_name", "creative_name", "rendered_creative_size",
+    "device_category_name", "ad_server_impressions", "ad_server_clicks",
+]
+FEW_ROWS = 1000
+
 
 class Tables:
     """The delivery model over one set of given tables; everything is lazy."""
@@ -133,9 +146,24 @@ class Tables:
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        return facts.line_item_diagnostics(
-            self.domains, self.line_items, self.clubs, self.health
-        )
+        """Domain rows of closed orders meet line items where both lie by order; others the general way.
+
+        As many buckets as shuffle partitions: domain rows are dealt by order into those.
+        """
+        raw = retail.delivery(self.spark, self.sf_dir, ITEM_COLUMNS)
+        rows = rows_by_order(raw, order_rows=FEW_ROWS)
+        opened, columns = rows.open_orders, self.domains.columns
+
+        def fact(part: DataFrame, domains: DataFrame, health: DataFrame, by_order: bool) -> DataFrame:
+            line_items = rollups.line_item_rollup(part, by_order, facts.DIAGNOSTIC_ITEM_COLUMNS)
+            return facts.line_item_diagnostics(domains, line_items, self.clubs, health, by_order)
+
+        if opened.isEmpty():
+            return fact(rows.closed, self.domains, self.health, True)
+        health = written(self.health, work_dir(self.spark, "health"))
+        closed = self.domains.join(opened, "order_id", "left_anti").select(*columns)
+        sharing = self.domains.join(opened, "order_id", "left_semi").select(*columns)
+        return fact(rows.closed, closed, health, True).union(fact(rows.others, sharing, health, False))
 
     def rows_by_order(self, columns: list[str]) -> ByOrder:
         """The raw rows stored by order, a row of which is a line item of the given tables."""

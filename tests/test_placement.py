@@ -60,6 +60,42 @@ def test_creative_sizes_by_order_equal_those_of_all_rows(spark, limit, about):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_diagnostics_by_order_equal_those_of_all_rows(spark, limit):
+    raw = rows(spark)
+    known = facts.order_health(
+        rollups.order_rollup(raw), X.goals(spark, (1, 400), (10, 50), (12, 5), (12, 6)), "2025-01-31"
+    )
+    listed = [(o, o * 100 + i, "A.com", o) for o in range(1, 25) for i in range(1, 5)]
+    listed += [(1, 7, "b.com", 1), (3, 7, "a.com", 2), (12, 1301, "a.com", 3), (0, 9, "a.com", 4), (13, 0, "a.com", 5)]
+    made = X.domain_rows(spark, *listed)
+    domains = made.withColumns({
+        **{c: F.nullif(c, F.lit(0)) for c in ("order_id", "line_item_id")},
+        "advertiser_name": F.when(F.col("order_id") == 14, "Another").otherwise(F.col("advertiser_name")),
+    })
+    clubs = X.club_map(spark, ("a.com", "a", "Club A"), ("A.com", "b", "Club B"))
+    wanted = facts.line_item_diagnostics(domains, rollups.line_item_rollup(raw), clubs, known)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        parts = rows_by_order(raw, order_rows=30)
+        got = []
+        for part, kept, by_order in ((parts.closed, "left_anti", True), (parts.others, "left_semi", False)):
+            line_items = rollups.line_item_rollup(part, by_order, facts.DIAGNOSTIC_ITEM_COLUMNS)
+            mine = domains.join(parts.open_orders, "order_id", kept).select(*domains.columns)
+            got += facts.line_item_diagnostics(mine, line_items, clubs, known, by_order).collect()
+        assert sorted(map(repr, got)) == multiset(wanted)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_line_items_meet_domain_rows_by_the_order_alone(spark):
+    text = queries()["diagnostics_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scan = text.index("Bucketed: true")
+    assert "hashpartitioning(line_item_id" not in text[:scan]
+    assert "_item_order" not in "".join(line for line in text.splitlines() if "Exchange" in line)
+
+
 def test_rows_that_lie_by_order_do_not_shuffle_again(spark):
     raw = rows(spark)
     closed = rows_by_order(raw, 1).closed
