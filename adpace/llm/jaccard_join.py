@@ -5,6 +5,8 @@
 2. The global order puts light low shingles first, heavy ones last; any fixed order is
    right, this one keeps common passages out of prefixes. Linked sets share a shingle in
    their prefixes, so each set enters the index with its prefix alone. Equal sets are one.
+   A large corpus fills the tables, which would let nearly every set into the index; then
+   the sets whose low shingles occur elsewhere are found by joins instead (``dense_sets``).
 3. In each prefix shingle's group every set is tried against the group's smallest set;
    what links is one component. Then the pairs of a group that are still apart are tried,
    after a count over their shared prefix shingles; groups of over ``LARGE`` sets in blocks,
@@ -38,12 +40,14 @@ from pyspark.sql import functions as F
 
 from adpace.llm.common import batch_parts, table
 from adpace.llm.shingles import Shingler
-from adpace.scratch import work_dir, written
+from adpace.scratch import discarded, work_dir, written
 
 WIDTH = 4
 PERCENT = 85
-#: Bits of each table, whatever the input. Full tables cost time, not links.
+#: Bits of each table, whatever the input.
 TABLE_BITS = 1 << 26
+#: Share of the bits from which a table tells too little and joins take its place.
+DENSE = 1 / 16
 HEAVY = 64
 #: Sets seen by a task whose copies it leaves out; forgotten when so many.
 RECENT = 100_000
@@ -115,19 +119,24 @@ def low_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def bit_tables(docs: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit tables of low shingles found at least twice, and ``HEAVY`` times."""
     counted = low_shingles(docs, width, percent).groupBy("shingle").agg(F.count("*").alias("n")).filter("n >= 2")
-    slot = F.pmod("shingle", F.lit(TABLE_BITS)) + 1
-    bits = counted.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"), "n")
-    # At most TABLE_BITS / 32768 rows of two times 4 KB.
-    parts = bits.groupBy("bucket").agg(
-        F.bitmap_construct_agg("bit").alias("shared"),
-        F.bitmap_construct_agg(F.when(F.col("n") >= HEAVY, F.col("bit"))).alias("heavy"),
+    shared, heavy = _bits(counted, "shingle", {"shared": F.lit(True), "heavy": F.col("n") >= HEAVY})
+    return shared, heavy
+
+
+def _bits(rows: DataFrame, key: str, wanted: dict) -> list[np.ndarray]:
+    """A bit table for each condition in ``wanted``, of the keys of the rows that meet it."""
+    slot = F.pmod(key, F.lit(TABLE_BITS)) + 1
+    bits = rows.select(
+        F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"), *[c.alias(n) for n, c in wanted.items()]
     )
-    shared, heavy = (np.zeros(TABLE_BITS // 8, dtype=np.uint8) for _ in range(2))
+    # At most TABLE_BITS / 32768 rows of 4 KB for each table.
+    parts = bits.groupBy("bucket").agg(*[F.bitmap_construct_agg(F.when(F.col(n), F.col("bit"))).alias(n) for n in wanted])
+    tables = {n: np.zeros(TABLE_BITS // 8, dtype=np.uint8) for n in wanted}
     for row in parts.toLocalIterator():
         at = slice((row["bucket"] - 1) * _BUCKET // 8, row["bucket"] * _BUCKET // 8)
-        shared[at] = np.frombuffer(row["shared"], dtype=np.uint8)
-        heavy[at] = np.frombuffer(row["heavy"], dtype=np.uint8)
-    return shared, heavy
+        for n in wanted:
+            tables[n][at] = np.frombuffer(row[n], dtype=np.uint8)
+    return list(tables.values())
 
 
 def _bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -515,9 +524,128 @@ def link_tasks(sets: DataFrame, percent: int, root: str) -> list[DataFrame]:
     return [block_tasks(placed, blocks), pair_tasks(written(pairs, f"{root}/pairs"))]
 
 
+def sized(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row per document: size and signature of its set, and its low shingles if it may link with different ones."""
+    least = smallest_linked(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, recent = Shingler(width), _Recent()
+        for batch in (part for whole in batches for part in batch_parts(whole)):
+            sets = shingler.sets(_texts(batch))
+            sigs = [signature(keys) if len(keys) else None for keys in sets]
+            low = [
+                keys[: np.searchsorted(keys, np.uint64(1 << 62))].view(np.int64) if len(keys) >= least and recent.new(sig) else None
+                for keys, sig in zip(sets, sigs)
+            ]
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            arrays = [ids, pa.array(map(len, sets), pa.int32()), pa.array(sigs, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sig", "low"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, sig binary, low array<bigint>")
+
+
+def _low_entries(sets: DataFrame, shared: np.ndarray) -> DataFrame:
+    """``id, shingle``: the low shingles of ``id, low`` that the bit table holds."""
+    table = sets.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in batch_parts(whole)):
+            low = batch.column(1)
+            keys = low.flatten().to_numpy(zero_copy_only=False)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(low.offsets.to_numpy()))
+            kept = _bit(table.value, keys.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(keys[kept])], names=["id", "shingle"])
+
+    return sets.select("id", "low").mapInArrow(run, "id bigint, shingle bigint")
+
+
+#: The number that stands for a signature in a bit table: its first seven bytes.
+_SIG_BYTES = 7
+
+
+def _chosen(docs: DataFrame, width: int, percent: int, names: np.ndarray) -> DataFrame:
+    """``sig, keys``: the sets whose signature the bit table holds, copies included."""
+    table, least = docs.sparkSession.sparkContext.broadcast(names), smallest_linked(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, recent = Shingler(width), _Recent()
+        for batch in (part for whole in batches for part in batch_parts(whole)):
+            found = [(signature(keys), keys) for keys in shingler.sets(_texts(batch)) if len(keys) >= least]
+            slots = np.array([int.from_bytes(sig[:_SIG_BYTES], "big") for sig, _ in found], dtype=np.uint64)
+            held = _bit(table.value, slots).tolist()
+            found = [x for x, there in zip(found, held) if there and recent.new(x[0])]
+            arrays = [pa.array([sig for sig, _ in found], pa.binary()), pa.array([k.tobytes() for _, k in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["sig", "keys"])
+
+    return docs.select("text").mapInArrow(run, "sig binary, keys binary")
+
+
+def _ordered(chosen: DataFrame, percent: int, heavy: np.ndarray) -> DataFrame:
+    """``sig, n, prefix, path`` of ``sig, keys, shared``: as ``indexed`` gives them."""
+    table = chosen.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in batch_parts(whole)):
+            sigs, sizes, prefixes, paths = [], [], [], []
+            for sig, raw, shared in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                keys = np.frombuffer(raw, dtype=np.uint64)
+                ordered, original = in_global_order(keys, table.value)
+                p = prefix_length(len(keys), percent)
+                head = original[:p]
+                kept = (head >= np.uint64(1 << 62)) | np.isin(head, np.array(shared, dtype=np.int64).view(np.uint64))
+                if kept.any():
+                    sigs.append(sig)
+                    sizes.append(len(keys))
+                    prefixes.append(ordered[:p][kept].view(np.int64))
+                    paths.append(ordered.astype(">u8").tobytes())
+            arrays = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(paths, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["sig", "n", "prefix", "path"])
+
+    return chosen.select("sig", "keys", "shared").mapInArrow(run, "sig binary, n int, prefix array<bigint>, path binary")
+
+
+def dense_sets(
+    docs: DataFrame, width: int, percent: int, tables: tuple[np.ndarray, np.ndarray], root: str
+) -> tuple[DataFrame, DataFrame]:
+    """What ``indexed_sets`` gives, for corpora that fill the bit tables.
+
+    Equal sets become one before their low shingles are counted, so copies of a text make none of
+    them shared. The shared ones of each set come from joins by shingle; a bit table that is not
+    full leaves out some of the rest before. Only the sets that can link are made from their
+    texts again: a bit table of their signatures keeps most others out of that shuffle.
+    """
+    spark = docs.sparkSession
+    sizes = written(sized(docs, width, percent), f"{root}/sized")
+    rows = written(sizes.select("doc_id", "n", "sig"), f"{root}/rows")
+    once = sizes.filter("low IS NOT NULL").select("sig", "n", "low").dropDuplicates(["sig"])
+    # Written with its ids, which are the same for every reader from then on.
+    once = written(once.withColumn("id", F.monotonically_increasing_id()), f"{root}/once")
+    discarded(spark, f"{root}/sized")
+    low = written(
+        _low_entries(once, tables[0]).groupBy("shingle").agg(F.count("*").alias("n")).filter("n >= 2").select("shingle"),
+        f"{root}/low",
+    )
+    shared = _low_entries(once, tables[0]).join(low, "shingle").groupBy("id").agg(F.collect_list("shingle").alias("shared"))
+    named = once.select("id", "sig", "n", F.size("low").alias("low")).join(shared, "id", "left")
+    # As in ``indexed``: low shingles found nowhere else are outside every intersection.
+    others = F.col("low") - F.when(F.col("shared").isNull(), 0).otherwise(F.size("shared"))
+    able = named.filter(others <= F.expr(f"n - ({percent} * CAST(n AS BIGINT) + 99) DIV 100"))
+    able = written(able.select("sig", F.coalesce("shared", F.array().cast("array<bigint>")).alias("shared")), f"{root}/able")
+    discarded(spark, f"{root}/once")
+    number = F.conv(F.hex(F.substring("sig", 1, _SIG_BYTES)), 16, 10).cast("bigint")
+    (names,) = _bits(able.select(number.alias("number")), "number", {"able": F.lit(True)})
+    chosen = _chosen(docs, width, percent, names).dropDuplicates(["sig"]).join(able, "sig")
+    sets = written(_ordered(chosen, percent, tables[1]), f"{root}/sets")
+    for name in ("low", "able"):
+        discarded(spark, f"{root}/{name}")
+    return rows, sets
+
+
 def indexed_sets(docs: DataFrame, width: int, percent: int, root: str) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, sig`` of all documents, and ``sig, n, prefix, path`` of the different sets that can link."""
     tables = bit_tables(docs, width, percent)
+    if np.bitwise_count(tables[0]).sum() > DENSE * TABLE_BITS:
+        return dense_sets(docs, width, percent, tables, root)
     rows = written(indexed(docs, width, percent, tables), f"{root}/indexed")
     sets = rows.filter("path IS NOT NULL").select("sig", "n", "prefix", "path").dropDuplicates(["sig"])
     return rows, written(sets, f"{root}/sets")

@@ -229,3 +229,30 @@ def test_shingle_tasks_take_a_batch_in_parts(spark, monkeypatch):
     assert rows.column("doc_id").to_pylist() == [i for i, _ in near_copies()]
     assert jaccard_join.low_shingles(Local(), 5, 80).num_rows > 0
     assert len(asked) > 20 and max(asked) <= 1 << 12
+
+
+@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
+def test_components_when_the_bit_tables_are_full(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    monkeypatch.setattr(jaccard_join, "DENSE", -1)
+    rows = texts() + near_copies()
+    got = jaccard_join.jaccard_components(documents(spark, rows), width, percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, width, percent)
+
+
+def test_full_bit_tables_let_no_other_sets_into_the_index(spark, monkeypatch, tmp_path):
+    """Sets that share nothing stay out, however many shingles the corpus shares, and so do copies of them."""
+    monkeypatch.setattr(jaccard_join, "TABLE_BITS", 1 << 15)
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**12)}" for _ in range(n))
+    long = text(60_000)
+    alone = [text(400) for _ in range(40)]
+    rows = list(enumerate([long, f"{long} end", *alone, *alone]))
+    docs = documents(spark, rows)
+    tables = jaccard_join.bit_tables(docs, 5, 80)
+    assert np.unpackbits(tables[0]).mean() > 0.3
+    members, sets = jaccard_join.indexed_sets(docs, 5, 80, f"{tmp_path}/join")
+    assert sorted(r.n for r in sets.collect()) == [59_996, 59_997]
+    assert sorted(r.doc_id for r in members.collect()) == list(range(82))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 5, 80).collect()}
+    assert got == {0: 0, 1: 0} | {i: 2 + (i - 2) % 40 for i in range(2, 82)}
