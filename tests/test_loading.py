@@ -186,6 +186,41 @@ def test_bucketed_store_does_not_shuffle_what_is_stored(spark):
     assert "Bucketed: true" in stored_side
 
 
+def test_a_large_upsert_meets_the_store_in_slices(spark, monkeypatch):
+    """Never more than a part of a large batch is dealt by hash at once; the store grows in one write."""
+    from adpace.operators import store
+
+    table, buckets, path = "sliced_store", 4, work_dir(spark, "store")
+    create_store(spark, table, buckets, path=path)
+    report = X.report(spark, *[dict(order_id=i) for i in range(400)])
+    dealt, new_rows = [], store.new_rows
+    monkeypatch.setattr(store, "new_rows", lambda batch, known: dealt.append(batch.count()) or new_rows(batch, known))
+    monkeypatch.setattr(store, "SLICE_ROWS", 50)
+    old = report.filter("order_id < 100")
+    root = os.path.dirname(path.removeprefix("file:"))
+    files = lambda: [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]
+    before = len(files())
+    assert upsert_store(old.unionByName(old), table, buckets).rows == 100
+    assert upsert_store(report.unionByName(report), table, buckets).rows == 300
+    assert len(files()) - before <= 2 * buckets
+    assert upsert_store(report, table, buckets).rows == 0
+    assert len(dealt) == 3 * store.SLICES and max(dealt) < 400 and sum(dealt) == 200 + 800 + 400
+    rows = spark.table(table)
+    assert rows.count() == 400 and rows.select("row_hash").distinct().count() == 400
+    assert not [f for f in os.listdir(root) if f.startswith(("upsert-", "merged-"))]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("merged_")]
+
+
+def test_stores_have_buckets_for_their_rows(spark, monkeypatch):
+    from registry import queries as Q
+
+    monkeypatch.setattr(Q, "BUCKET_ROWS", 500)
+    t = Q.Tables(spark, "/root/testdata/sf0.001")
+    table, buckets = t.new_store()
+    assert buckets == -(-t.raw.count() // 500) > Q.STORE_BUCKETS
+    assert f"Num Buckets', '{buckets}'" in str([(r.col_name, r.data_type) for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()])
+
+
 def test_stream_loads_overlapping_drops_once(spark, tmp_path):
     drops, target = tmp_path / "drops", work_dir(spark, "stored")
     drops.mkdir()
