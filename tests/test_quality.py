@@ -1,8 +1,10 @@
 """Data checks and the warehouse plan."""
 
+from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from adpace.operators import quality as Q
 from adpace.operators.rollups import orders_table
@@ -132,3 +134,26 @@ def test_every_table_is_scanned_once(spark, tmp_path):
     plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     for n in "ab":
         assert plan.count(f"{tmp_path}/{n}]") == 1
+
+
+def test_facts_in_slices_equal_whole_ones(spark, monkeypatch):
+    """Facts built in slices by order hold the same rows, those without an order included."""
+    loose = X.report(spark, *[dict(order_id=i % 40, line_item_id=i) for i in range(200)])
+    loose = loose.withColumn("order_id", F.when(F.col("line_item_id") % 9 > 0, F.col("order_id")))
+    domains = X.sample_domains(spark)
+    no_order = domains.limit(1).withColumn("order_id", F.lit(None).cast("bigint"))
+    inputs = warehouse.Inputs(
+        X.sample_report(spark).unionByName(loose), X.sample_goals(spark),
+        domains.unionByName(no_order), X.sample_clubs(spark),
+    )
+    whole = warehouse.build_all(inputs, "2025-11-13", work_dir(spark, "whole"))
+    monkeypatch.setattr(warehouse, "SLICE_ROWS", 10)
+    slices, cut = [], warehouse.order_slices
+    monkeypatch.setattr(warehouse, "order_slices", lambda *a: slices.extend(cut(*a)) or slices)
+    sliced = warehouse.build_all(inputs, "2025-11-13", work_dir(spark, "sliced"))
+    assert len(slices) > 4
+    for name in warehouse.FACTS:
+        rows = lambda t: Counter(map(str, t[name].collect()))
+        assert rows(whole) == rows(sliced) and sum(rows(whole).values()) > 0, name
+    assert None in {r.order_id for r in sliced["creative_sizes"].collect()}
+    assert None in {r.order_id for r in sliced["line_item_diagnostics"].collect()}
